@@ -101,7 +101,7 @@ def _shared(left: Column, right: Column) -> Column:
 
 
 def _block_links(percent: int):
-    """Links inside a block of one or two chunks: all pairs by one matrix product."""
+    """Compares all pairs of a block by one matrix product; returns as few links as join what is linked."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
@@ -119,9 +119,17 @@ def _block_links(percent: int):
             matrix[row[a:b], column[a:b] - start] = 1
             shared += matrix @ matrix.T
         union = sizes[:, None] + sizes[None, :] - shared
-        a, b = np.nonzero(np.triu(100 * shared >= percent * union, 1))
+        linked = 100 * shared >= percent * union
+        label = np.arange(n)
+        while True:  # the least label among a row's links
+            least = np.where(linked, label[None, :], n).min(axis=1)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
         ids = pdf.id.to_numpy()
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+        joined = label != np.arange(n)
+        return pd.DataFrame({"a": ids[joined], "b": ids[label[joined]]})
 
     return run
 
