@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import chat, langid, pii, secrets
 from .bpe import bpe_decode, bpe_encode
+from .decontaminate import contaminated
 from .neardup import near_duplicates
 
 
@@ -36,6 +37,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_decontaminate": op4_decontaminate,
     "op6_language": op6_language,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
