@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import chat, langid, pii, secrets
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import contaminated
+from .linededup import dedup_lines
 from .neardup import near_duplicates
 
 
@@ -41,6 +42,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = dedup_lines(documents.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.last - r.first + 1)
+    return found.select("doc_id", "n_lines", gone.alias("n_removed"), F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r.first.cast("string"), r.last.cast("string"))), ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -79,6 +87,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language": op6_language,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
