@@ -44,7 +44,6 @@ class Coder:
         self.texts = {i: t for t, i in (self.ids | self.special).items()}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(WORDS.replace(r"\s", SPACE[1:-1]))
-        self.space = regex.compile(SPACE + "+")
         self.characters = byte_characters()
         bare = [t.removesuffix(self.suffix) for t in self.ids]
         self.inside = {pair for t in bare for pair in zip(t, t[1:])}
@@ -64,7 +63,7 @@ class Coder:
             elif part:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part)
-                found += map(self.words.__getitem__, self.pattern.findall(self.space.sub(" ", part).replace("Σ", "σ").lower()))
+                found += map(self.words.__getitem__, self.pattern.findall(part.replace("Σ", "σ").lower()))  # white space is in no word
         if len(self.words) + len(self.fragments) > WORD_CACHE:
             self.words.clear()
             self.fragments.clear()
@@ -175,7 +174,10 @@ def bpe_decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", decoded
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                yield _with_column(part, decoded_col, pa.array([coder.decode(ids or []) for ids in part.column(ids_col).to_pylist()], pa.string()))
+                column = part.column(ids_col)
+                ids, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().fill_null(0))
+                decoded = [coder.decode(ids[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)]
+                yield _with_column(part, decoded_col, pa.array(decoded, pa.string()))
 
     encoded = encoded.drop(decoded_col)
     return encoded.mapInArrow(run, encoded.withColumn(decoded_col, F.lit(None).cast("string")).schema)
