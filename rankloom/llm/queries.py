@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .decontaminate import contaminated
 from .hamming import nearest_codes
 from .linededup import dedup_lines
+from .lm import score_texts
 from .neardup import near_duplicates
 
 
@@ -88,6 +89,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -98,6 +103,7 @@ QUERIES = {
     "op7_nearest_codes": op7_nearest_codes,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: The others are tested against brute force, round trips or held-out accuracy.

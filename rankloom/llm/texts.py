@@ -34,8 +34,8 @@ _BASE = _U(0xD6E8FEB86659FD93)
 _BASE_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about CHUNK_BYTES of text, one row at least."""
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -44,7 +44,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -58,31 +58,45 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word, in order."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of, and the byte after, every word, in order."""
     n = len(data)
-    if not n:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
     inside = ~_SPACE[data]
     first = np.zeros(n + 1, bool)  # where a text begins
     first[offsets[:-1]] = True
     first = first[:n]
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, inside[:-1]
+    before = np.zeros(n, bool)
+    before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (first | ~before))
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, inside[1:] & ~first[1:]
-    ends = np.flatnonzero(inside & ~after) + 1
-    powers = np.full(n, _BASE, _U)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE_VALUES[_LOWER[data]] * powers, out=sums[1:])
-    inverse = np.full(n, _BASE_INVERSE, _U)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _GOLDEN)
-    return hashes, np.searchsorted(offsets, starts, "right") - 1
+    after = np.zeros(n, bool)
+    after[:-1] = inside[1:] & ~first[1:]
+    return starts, np.flatnonzero(inside & ~after) + 1
+
+
+class Hashes:
+    """Hashes of any stretch of lower-cased bytes, from prefix sums."""
+
+    def __init__(self, data: np.ndarray):
+        powers = np.full(len(data), _BASE, _U)
+        powers[:1] = 1
+        np.multiply.accumulate(powers, out=powers)
+        self._sums = np.zeros(len(data) + 1, _U)
+        np.cumsum(_BYTE_VALUES[_LOWER[data]] * powers, out=self._sums[1:])
+        self._inverse = powers
+        self._inverse[:] = _BASE_INVERSE
+        self._inverse[:1] = 1
+        np.multiply.accumulate(self._inverse, out=self._inverse)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(_U) * _GOLDEN)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word, in order."""
+    if not len(data):
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    starts, ends = word_spans(data, offsets)
+    return Hashes(data)(starts, ends), np.searchsorted(offsets, starts, "right") - 1
 
 
 def shingles(word: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
