@@ -1,4 +1,4 @@
-"""Every registered query with its DuckDB equivalent."""
+"""Every registered query with its DuckDB equivalent; the modules that define them add themselves here."""
 
 from __future__ import annotations
 
@@ -6,6 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import base, decisions, entities, joining, ranking, retrieval, sections, selection, state, texts, usage
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+FLAGSHIP = "hybrid_retrieval"
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (usage, retrieval, ranking, selection, texts, decisions, joining, sections, entities, state):
+    QUERIES |= base.queries_of(_module)
+    ORACLE_SQL |= base.oracles_of(_module)
