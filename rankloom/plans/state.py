@@ -1 +1,65 @@
-"""To come."""
+"""Queries over event logs with state."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import state as S
+from ..operators.workspace import Workspace
+from ..streaming import rollups
+from .base import query, table
+
+
+@query("""
+    with recursive e as (select event_id, event_type as provider, epoch_ms(ts) as ms, row_number() over (partition by event_type order by ts, event_id) as i from events where event_id < 3000),
+    r(provider, i, event_id, ms, reserved) as (select provider, i, event_id, ms, ms + 50 from e where i = 1 union all select e.provider, e.i, e.event_id, e.ms, greatest(e.ms + 50, r.reserved + 600000) from r join e on e.provider = r.provider and e.i = r.i + 1)
+    select event_id, provider, reserved, reserved - ms as wait from r
+""")
+def rate_limiter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "events").filter("event_id < 3000").select("event_id", F.col("event_type").alias("provider"), "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return S.rate_limit(requests, "provider", "at", ["ts", "event_id"], 600_000, 50).select("event_id", "provider", "reserved", "wait")
+
+
+@query("""
+    with l as (select user_id, event_id % 40 as task, arg_max(case event_type when 'purchase' then 'success' when 'error' then 'failed' else 'running' end, (ts, event_id)) as s from events group by all)
+    select user_id, count_if(s not in ('success', 'failed')) as pending, count_if(s = 'success') as succeeded, count_if(s = 'failed') as failed, count_if(s not in ('success', 'failed')) = 0 and count_if(s = 'failed') = 0 as done from l group by 1
+""")
+def task_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failed").otherwise("running")
+    events = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 40).alias("task"), status.alias("status"), "ts", "event_id")
+    return S.task_counters(events, "user_id", "task", "status", ["ts", "event_id"])
+
+
+@query(None)
+def task_lease_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.when(F.col("event_type") == "purchase", "complete").otherwise("claim")
+    events = table(spark, sf_dir, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("task"), "event_id", action.alias("action"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return S.lease_replay(events, "task", ["at", "event_id"], 1_800_000 * 24).select("task", "event_id", "outcome")
+
+
+@query(None)
+def credit_reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "purchase", "release").otherwise("reserve")
+    requests = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 23).alias("operation"), kind.alias("kind"), F.col("value").alias("required"), F.lit(100.0).alias("balance"))
+    return S.reservations(requests, "user_id", ["event_id"]).withColumn("available", F.round("available", 6))
+
+
+@query("""
+    with g as (select event_id % 5000 as grant_id, user_id % 50 as user_id, case when event_id % 5000 % 3 = 0 then 'subscription' else 'topup' end as kind, event_id % 5000 % 17 as credits, event_id % 5000 % 100 as period_end from events),
+    o as (select grant_id, grant_id % 50 as user_id, any_value(kind) as kind, any_value(credits) as credits, any_value(period_end) as period_end from g group by grant_id)
+    select user_id, sum(credits) filter (kind = 'topup')::bigint as topup, arg_max(credits, (period_end, grant_id)) filter (kind = 'subscription') as subscription from o group by user_id
+""")
+def grant_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.col("event_id") % 5000
+    rows = table(spark, sf_dir, "events").select(g.alias("grant_id"), (g % 50).alias("user_id"), F.when(g % 3 == 0, "subscription").otherwise("topup").alias("kind"), (g % 17).alias("credits"), (g % 100).alias("period_end"))
+    return S.grants(rows, "user_id", "grant_id")
+
+
+@query("select event_type, strftime(ts, '%Y-%m-%d') as day, count(*) as n, cast(sum(cast(value as decimal(38,4))) as double) as cost from events group by all")
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "rollup")
+    events = rollups.read_events(spark, sf_dir, "events.parquet").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    totals = rollups.rollup(events, ["event_type", "day"], {"n": F.count("*"), "cost": F.sum(F.col("value").cast("decimal(38,4)")).cast("double")})
+    rollups.keep_table(totals, f"{ws.path}/table", f"{ws.path}/checkpoint")
+    return spark.read.parquet(f"{ws.path}/table")
