@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRICE = "decimal(38,18)"
+#: Types whose products and quotients keep all their digits.
+TOKENS, PRICE = "decimal(18,0)", "decimal(12,6)"
 
 
 def keyset_page(rows: DataFrame, cursor: DataFrame, at: str, key: str, size: int) -> DataFrame:
@@ -54,7 +55,7 @@ def best_price(usage: DataFrame, prices: DataFrame, model: str) -> DataFrame:
 def token_cost(input_tokens: Column, cached: Column, output: Column, prices: tuple[str, str, str]) -> Column:
     """Cost per million tokens in decimals; cached tokens are part of the input and never more than it."""
     fresh = F.greatest(input_tokens - cached, F.lit(0))
-    parts = [x.cast(PRICE) / 1_000_000 * F.lit(p).cast("decimal(18,9)") for x, p in zip((fresh, cached, output), prices, strict=True)]
+    parts = [x.cast(TOKENS) * F.lit(p).cast(PRICE) / 1_000_000 for x, p in zip((fresh, cached, output), prices, strict=True)]
     return (parts[0] + parts[1] + parts[2]).cast("double")
 
 

@@ -28,21 +28,21 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
-@query(f"with {BM25} select item_id, doc_id, round(score, 6) as score, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as lane_rank from bm25 qualify lane_rank <= 20")
+@query(f"with {BM25} select item_id, doc_id, round(score, 9) as score, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as lane_rank from bm25 qualify lane_rank <= 20")
 def bm25_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = R.ranked(_bm25(spark, sf_dir).withColumn("score", F.round("score", 9)), ["item_id"], "score", ["doc_id"], 20, "lane_rank")
-    return top.select("item_id", "doc_id", F.round("score", 6).alias("score"), "lane_rank")
+    return top.select("item_id", "doc_id", "score", "lane_rank")
 
 
 @query(f"""
     with {BM25}, v as (select item_id % 8 as lane, doc_id, round(score, 9) as score, row_number() over (partition by item_id % 8, doc_id order by round(score, 9) desc) as k from bm25),
     f as (select lane, doc_id, sum(score * case when k = 1 then 1 else 0.2 end) as score from v where k <= 3 group by all)
-    select lane, doc_id, round(score, 6) as score, row_number() over (partition by lane order by round(score, 9) desc, doc_id) as lane_rank from f qualify lane_rank <= 40
+    select lane, doc_id, round(score, 9) as score, row_number() over (partition by lane order by round(score, 9) desc, doc_id) as lane_rank from f qualify lane_rank <= 40
 """)
 def multi_view_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = _bm25(spark, sf_dir).select((F.col("item_id") % 8).alias("lane"), "doc_id", F.round("score", 9).alias("score"))
     placed = R.finalize_lane(views, ["lane"], "score", 10**9, "doc_id").drop("lane_rank").withColumn("score", F.round("score", 9))
-    return R.ranked(placed, ["lane"], "score", ["doc_id"], 40, "lane_rank").select("lane", "doc_id", F.round("score", 6).alias("score"), "lane_rank")
+    return R.ranked(placed, ["lane"], "score", ["doc_id"], 40, "lane_rank").select("lane", "doc_id", "score", "lane_rank")
 
 
 LANES = f"""
@@ -100,16 +100,16 @@ def _facet_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATCH = "m as (select vec_id, scores, list_transform(list_zip(scores, [5, 4, 3, 2, 1, 5, 4, 3, 2, 1]), lambda z: z[1] * z[2]) as weighted, 30.0 as mass from s), t as (select vec_id, list_max(weighted) / 5 as best, list_sum(list_sort(weighted, 'DESC')[1:3]) / mass as top_m, list_sum(list_transform(list_zip(scores, [5, 4, 3, 2, 1, 5, 4, 3, 2, 1]), lambda z: z[2] * greatest(z[1] - 0.2, 0))) / mass as coverage from m)"
 
 
-@query(f"with {_FACETS}, {_MATCH} select vec_id, round(best, 5) as best, round(top_m, 5) as top_m, round(coverage, 5) as coverage, round(0.55 * best + 0.25 * top_m + 0.20 * coverage, 5) as match from t")
+@query(f"with {_FACETS}, {_MATCH} select vec_id, round(best, 10) as best, round(top_m, 10) as top_m, round(coverage, 10) as coverage, round(0.55 * best + 0.25 * top_m + 0.20 * coverage, 10) as match from t")
 def facet_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.array(*[F.lit(float(w)) for w in (5, 4, 3, 2, 1, 5, 4, 3, 2, 1)])
     m = _facet_scores(spark, sf_dir).select("vec_id", scores.facet_match(F.col("scores"), weights, 0.2, 3).alias("m"))
-    return m.select("vec_id", *[F.round(f"m.{c}", 5).alias(c) for c in ("best", "top_m", "coverage", "match")])
+    return m.select("vec_id", *[F.round(f"m.{c}", 10).alias(c) for c in ("best", "top_m", "coverage", "match")])
 
 
-@query(f"with {_FACETS} select vec_id, round((list_sort(scores, 'DESC')[1] + list_sort(scores, 'DESC')[2]) / 2, 5) as mean2 from s")
+@query(f"with {_FACETS} select vec_id, round((list_sort(scores, 'DESC')[1] + list_sort(scores, 'DESC')[2]) / 2, 8) as mean2 from s")
 def two_best_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facet_scores(spark, sf_dir).select("vec_id", F.round(top_mean(F.col("scores"), 2), 5).alias("mean2"))
+    return _facet_scores(spark, sf_dir).select("vec_id", F.round(top_mean(F.col("scores"), 2), 8).alias("mean2"))
 
 
 @query(f"with {_FACETS} select vec_id, i - 1 as facet, scores[i] as score from (select vec_id, scores, unnest(range(1, 11)) as i, list_sort(list_transform(list_zip(scores, range(1, 11)), lambda z: {{'m': -z[1], 'i': z[2]}})) as o from s) where scores[i] >= 0.3 or o[1].i = i or o[2].i = i")

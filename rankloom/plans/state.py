@@ -12,7 +12,7 @@ from .base import query, table
 
 
 @query("""
-    with recursive e as (select event_id, event_type as provider, epoch_ms(ts) as ms, row_number() over (partition by event_type order by ts, event_id) as i from events where event_id < 3000),
+    with recursive e as (select event_id, event_type as provider, epoch_us(ts) // 1000 as ms, row_number() over (partition by event_type order by ts, event_id) as i from events where event_id < 3000),
     r(provider, i, event_id, ms, reserved) as (select provider, i, event_id, ms, ms + 50 from e where i = 1 union all select e.provider, e.i, e.event_id, e.ms, greatest(e.ms + 50, r.reserved + 600000) from r join e on e.provider = r.provider and e.i = r.i + 1)
     select event_id, provider, reserved, reserved - ms as wait from r
 """)
