@@ -11,7 +11,7 @@ from rankloom.llm.bpe import bpe_decode, bpe_encode
 from rankloom.llm.decontaminate import contaminated
 from rankloom.llm.linededup import dedup_lines
 from rankloom.llm.neardup import near_duplicates
-from rankloom.llm.workspace import Workspace
+from rankloom.operators.workspace import Workspace
 
 #: Texts whose most probable language is less probable than this are rejected.
 LEAST_CONFIDENCE = 0.5

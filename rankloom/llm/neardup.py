@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
-from .components import components
-from .workspace import Workspace
+from ..operators.components import components
+from ..operators.workspace import Workspace
 
 BAND_ROWS = 4
 #: The chance that two texts just at the threshold share no band.
