@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, decisions, entities, joining, ranking, retrieval, sections, selection, state, texts, usage
+from . import base, decisions, entities, joining, ranking, records, retrieval, sections, selection, state, texts, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "hybrid_retrieval"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (usage, retrieval, ranking, selection, texts, decisions, joining, sections, entities, state):
+for _module in (usage, retrieval, records, ranking, selection, texts, decisions, joining, sections, entities, state):
     QUERIES |= base.queries_of(_module)
     ORACLE_SQL |= base.oracles_of(_module)
