@@ -82,7 +82,14 @@ def metered_cost(base: float, per_item: float, per_second: float, items: Column,
     return F.round(F.lit(max(base, 0.0)) + max(per_item, 0.0) * nonneg(items) + max(per_second, 0.0) * nonneg(seconds), 8)
 
 
-def trusted_support(explicit: Column, phrases: Column, title: Column, body: Column) -> Column:
-    """struct(trusted, reason): a cascade from explicit anchors to body hits."""
-    reason = F.when(explicit > 0, "explicit_anchor").when(phrases >= 2, "phrases").when((phrases >= 1) & (title >= 1), "phrase_and_title").when(body >= 4, "many_body_hits").otherwise("weak")
-    return F.struct((reason != "weak").alias("trusted"), reason.alias("reason"))
+def trusted_support(explicit: Column, phrases: Column, title: Column, body: Column, lexical_lanes: Column, view_score: Column) -> Column:
+    """struct(trusted, reason): anchors settle it; single words count only beside a lexical lane and a score."""
+    lexical = lexical_lanes >= 1
+    reason = (
+        F.when(explicit > 0, "explicit_anchor")
+        .when(phrases > 0, "phrase_anchor")
+        .when((title + body >= 2) & lexical & (view_score >= 6), "multi_unigram_plus_lexical")
+        .when((title >= 1) & lexical & (view_score >= 10), "title_anchor_plus_lexical")
+        .when((body >= 2) & lexical & (view_score >= 6), "body_anchor_plus_lexical")
+    )
+    return F.struct(reason.isNotNull().alias("trusted"), reason.alias("reason"))

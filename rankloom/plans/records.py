@@ -115,12 +115,12 @@ def citation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     select l_orderkey, l_linenumber, l_partkey, least(greatest(ceil(l_quantity * 100 * case l_returnflag when 'A' then 0.25 when 'R' then 1.1 else 0.5 end), 64), 4096)::bigint as output_tokens, round(0.5 + 0.02 * l_quantity + 0.001 * l_extendedprice, 6) as metered,
-        case when l_linenumber = 7 then 'explicit_anchor' when l_quantity >= 40 then 'phrases' when l_quantity >= 20 and l_discount >= 0.05 then 'phrase_and_title' when l_tax >= 0.04 then 'many_body_hits' else 'weak' end as support from lineitem
+        case when l_linenumber = 7 then 'explicit_anchor' when l_quantity >= 40 then 'phrase_anchor' when (l_discount >= 0.05)::int + (case when l_tax >= 0.04 then 2 else 0 end) >= 2 and l_linenumber > 2 and l_quantity >= 6 then 'multi_unigram_plus_lexical' when l_discount >= 0.05 and l_linenumber > 2 and l_quantity >= 10 then 'title_anchor_plus_lexical' end as support from lineitem
 """)
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     operation = F.when(F.col("l_returnflag") == "A", "summarize").when(F.col("l_returnflag") == "R", "rewrite").otherwise("other")
-    support = R.trusted_support((F.col("l_linenumber") == 7).cast("int"), F.floor(q / 20), (F.col("l_discount") >= 0.05).cast("int"), F.when(F.col("l_tax") >= 0.04, 4).otherwise(0))
+    support = R.trusted_support((F.col("l_linenumber") == 7).cast("int"), F.floor(q / 40), (F.col("l_discount") >= 0.05).cast("int"), F.when(F.col("l_tax") >= 0.04, 2).otherwise(0), (F.col("l_linenumber") > 2).cast("int"), q)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", R.output_tokens(operation, q * 100).alias("output_tokens"), F.round(R.metered_cost(0.5, 0.02, 0.001, q, F.col("l_extendedprice")), 6).alias("metered"), support["reason"].alias("support"))
 
 

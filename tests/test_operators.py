@@ -191,3 +191,38 @@ def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "g int, id int, score double, v array<double>")
     assert retrieval.mmr(empty, "g", "id", "score", "v").isEmpty()
     assert entities.merge_online(spark.createDataFrame([], "rid long, keys array<string>"), "rid", "keys").isEmpty()
+
+
+def test_anchors_search_the_page_then_its_neighbours_then_all(spark):
+    from rankloom.operators import structure
+
+    blocks = spark.createDataFrame([(1, 0, 1, "Intro text"), (1, 1, 2, "Methods"), (1, 2, 2, "Other"), (1, 3, 4, "Results here")], "d int, block int, page int, said string")
+    proposals = spark.createDataFrame([(1, 10, 2, "methods"), (1, 11, 2, "nothing alike"), (1, 12, 3, "Results  here"), (1, 13, 9, "Intro, text"), (1, 14, 9, "zzz")], "d int, proposal int, page int, title string")
+    got = structure.anchor_headings(proposals, blocks, "d").fillna({"block": -1, "method": "-"})
+    assert pairs(got, "proposal", "block", "method") == [(10, 1, "text_match"), (11, 1, "page_start"), (12, 3, "text_match"), (13, 0, "text_match"), (14, -1, "-")]
+
+
+def test_greedy_matching_is_one_to_one(spark):
+    from rankloom.operators import structure
+
+    rows = spark.createDataFrame([("g", 1, 1, 0.9), ("g", 1, 2, 0.8), ("g", 2, 1, 0.85), ("g", 2, 2, 0.5), ("g", 3, 1, 0.9)], "g string, truth int, produced int, score double")
+    assert pairs(structure.one_to_one(rows, "g"), "truth", "produced") == [(1, 1), (2, 2)]
+
+
+def test_sequence_ratio_is_that_of_the_library(spark):
+    from difflib import SequenceMatcher
+
+    from rankloom.operators import structure
+
+    a, b = "growth of towns", "the growth of a town"
+    row = spark.range(1).select(structure.sequence_ratio(F.lit(a), F.lit(b)).alias("r"), structure.similarity(F.lit(""), F.lit("")).alias("z")).first()
+    assert row.r == SequenceMatcher(None, a, b).ratio() and row.z == 0
+
+
+def test_imports_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True).returncode == 0
