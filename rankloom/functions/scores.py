@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import clip01, doubles, logistic, total
+from .vectors import clip01, doubles, total
 
 
 def facet_match(scores: Column, weights: Column, threshold: float, top: int, blend: tuple[float, float, float] = (0.55, 0.25, 0.20)) -> Column:
@@ -23,23 +23,6 @@ def facet_match(scores: Column, weights: Column, threshold: float, top: int, ble
     return F.struct(best.alias("best"), top_m.alias("top_m"), coverage.alias("coverage"), (blend[0] * best + blend[1] * top_m + blend[2] * coverage).alias("match"))
 
 
-def authority(rows: DataFrame, citations: str, year: str, as_of: int, review: Column | None = None, core: Column | None = None) -> DataFrame:
-    """``rows`` with authority: the percentile of citations per year among cited rows, and how recent the year is.
-
-    The percentile counts rows with at most as many citations per year, over one more than the cited ones.  It is
-    taken over distinct values, so that the ordered sum runs over few rows.
-    """
-    age = F.greatest(F.lit(1), as_of - F.col(year) + 1)
-    per_year = F.coalesce(F.col(citations), F.lit(0)) / F.coalesce(age, F.lit(10))
-    rows = rows.withColumn("per_year", per_year)
-    values = rows.filter("per_year > 0").groupBy("per_year").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("per_year").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = values.select("per_year", (F.sum("n").over(upto) / (F.sum("n").over(Window.partitionBy()) + 1)).alias("percentile"))
-    recency = F.coalesce(logistic((F.col(year) - (as_of - 5)) / 2), F.lit(0.5))
-    bonus = 0.05 * F.coalesce(review, F.lit(False)).cast("int") + 0.03 * F.coalesce(core, F.lit(False)).cast("int")
-    return rows.join(ranks, "per_year", "left").withColumn("authority", clip01(0.85 * F.coalesce("percentile", F.lit(0.0)) + 0.15 * recency + bonus)).drop("per_year", "percentile")
-
-
 def evidence_density(sections: Column, lanes: Column, terms: Column) -> Column:
     return 0.45 * F.least(sections, F.lit(4)) / 4 + 0.30 * F.least(lanes, F.lit(5)) / 5 + 0.25 * F.least(terms, F.lit(3)) / 3
 

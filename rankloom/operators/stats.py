@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import global_rank, order_statistics
+
 
 def breakdowns(rows: DataFrame, dimensions: list[str], measures: dict[str, Column]) -> DataFrame:
     """(dimension, key, measures): one total per value of each dimension, in a single pass (GROUPING SETS)."""
@@ -46,27 +48,15 @@ def fixed_percentile(x: Column, q: float, method: str = "linear") -> Column:
     return F.coalesce(agg, F.lit(0.0))
 
 
-def upper_median(values: Column) -> Column:
-    """Element floor(n / 2) of the sorted values."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
-
-
 def spearman(rows: DataFrame, left: str, right: str, tie: str) -> DataFrame:
     """(rho, n): rank correlation 1 - 6 sum d2 / (n (n2 - 1)); ranks descend, ties by ``tie``; 1 for a single row."""
-    ranked = rows.select(F.row_number().over(Window.orderBy(F.desc(left), tie)).alias("a"), F.row_number().over(Window.orderBy(F.desc(right), tie)).alias("b"))
+    ranked = global_rank(global_rank(rows.select(left, right, tie), [F.desc(left), tie], "a"), [F.desc(right), tie], "b")
     total = ranked.agg(F.count("*").alias("n"), F.sum(F.pow(F.col("a") - F.col("b"), 2)).alias("d2"))
     n = F.col("n")
     return total.select(F.when(n < 2, 1.0).otherwise(1 - 6 * F.col("d2") / (n * (n * n - 1))).alias("rho"), "n")
 
 
 def latency_summary(rows: DataFrame, key: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Count, mean, ends and nearest-index percentiles per key.
-
-    Positions follow from a row number, so a key's values are never collected.
-    """
-    order = Window.partitionBy(key).orderBy(value)
-    placed = rows.filter(F.col(value).isNotNull()).select(key, value, (F.row_number().over(order) - 1).alias("at"), F.count("*").over(Window.partitionBy(key)).alias("n"))
-    at = lambda q: F.bround((F.col("n") - 1) * q, 0)
-    picks = [F.max(F.when(F.col("at") == at(q), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return placed.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *picks)
+    """Count, mean, ends and nearest-index percentiles per key: the element round((n - 1) * q), halves to even."""
+    basic = rows.filter(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    return basic.join(order_statistics(rows, key, value, {name: F.bround((F.col("n") - 1) * q, 0) for name, q in quantiles.items()}), key)

@@ -9,13 +9,14 @@ from ..functions import scores
 from ..operators import selection as S
 from ..operators import stats
 from ..operators.evaluation import tournament
+from ..operators.ordering import group_rank, order_statistics
 from .base import query, table
 
 
 @query("select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderstatus, o_orderkey) as lane_rank from orders")
 def lane_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderstatus", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.row_number().over(order).alias("lane_rank"))
+    placed = group_rank(table(spark, sf_dir, "orders"), "o_orderpriority", [F.desc("o_totalprice"), "o_orderstatus", "o_orderkey"], "lane_rank")
+    return placed.select("o_orderkey", "o_orderpriority", "lane_rank")
 
 
 @query("""
@@ -80,10 +81,9 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def score_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").select("l_suppkey", F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1000).alias("d"))
-    order = Window.partitionBy("l_suppkey")
-    placed = d.withColumn("at", F.row_number().over(order.orderBy("d"))).withColumn("n", F.count("*").over(order))
-    middle = F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col("d")))
-    return placed.groupBy("l_suppkey").agg(F.round(F.max("d"), 4).alias("most"), F.round(F.avg("d"), 1).alias("mean"), F.round(middle, 4).alias("upper_median"))
+    basic = d.groupBy("l_suppkey").agg(F.round(F.max("d"), 4).alias("most"), F.round(F.avg("d"), 1).alias("mean"))
+    middle = order_statistics(d, "l_suppkey", "d", {"upper_median": F.floor(F.col("n") / 2)})
+    return basic.join(middle, "l_suppkey").withColumn("upper_median", F.round("upper_median", 4))
 
 
 @query("""

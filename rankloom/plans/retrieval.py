@@ -9,6 +9,7 @@ from ..functions import scores
 from ..functions.text import MARKED, PLAIN, STOP_WORDS
 from ..functions.vectors import cosine, top_mean
 from ..operators import retrieval as R
+from ..operators.ranking import authority
 from .base import query, table
 
 _FOLD = f"lower(regexp_replace(replace(translate(text, '{MARKED}{MARKED.upper()}', '{PLAIN}{PLAIN.upper()}'), 'ß', 'ss'), '[^\\x00-\\x7F]', '', 'g'))"
@@ -137,7 +138,7 @@ def xquad_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def authority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
-    scored = scores.authority(rows, "o_totalprice", "year", 2002, F.col("o_orderpriority").like("1%"), F.col("o_orderstatus") == "P")
+    scored = authority(rows, "o_totalprice", "year", 2002, F.col("o_orderpriority").like("1%"), F.col("o_orderstatus") == "P")
     return scored.select("o_orderkey", F.round("authority", 6).alias("authority"))
 
 

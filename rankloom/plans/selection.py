@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_key, normalize_title
 from ..operators import selection as S
+from ..operators.ordering import global_rank
 from .base import query, table
 
 
@@ -104,7 +105,7 @@ def top_bottom_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "customer").filter("c_custkey <= 300").select("c_custkey", F.concat_ws(".", (F.col("c_custkey") % 12 + 1).cast("string"), (F.col("c_custkey") % 25).cast("string")).alias("number"))
-    return k.withColumn("position", F.row_number().over(Window.orderBy(natural_key(F.col("number")), "c_custkey")))
+    return global_rank(k.withColumn("key", natural_key(F.col("number"))), ["key", "c_custkey"]).drop("key")
 
 
 @query("""
@@ -131,8 +132,8 @@ def custom_category_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     color = F.when(k == 0, "blue").when(k == 1, "red").when(k == 2, "green")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", color.alias("color"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("score"))
     place = F.array_position(F.array(*map(F.lit, ("green", "red", "blue"))), F.col("color"))
-    order = Window.orderBy(place.asc_nulls_last(), F.col("score").desc_nulls_last(), "s_suppkey")
-    return rows.select("s_suppkey", F.row_number().over(order).alias("position"))
+    placed = global_rank(rows.withColumn("place", place), [F.col("place").asc_nulls_last(), F.col("score").desc_nulls_last(), F.col("s_suppkey")])
+    return placed.select("s_suppkey", "position")
 
 
 @query("with n as (select conv_id, count(*) as n from conversations group by 1) select conv_id, n, list_transform(range(0, cast(ceil(n / 5.0) as bigint)), lambda g: n // cast(ceil(n / 5.0) as bigint) + (g < n % cast(ceil(n / 5.0) as bigint))::bigint) as sizes from n")

@@ -226,3 +226,25 @@ def test_imports_need_no_session():
 
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, capture_output=True).returncode == 0
+
+
+def test_ranks_and_statistics_over_many_ranges(spark):
+    import random
+
+    from rankloom.operators import ordering
+
+    rng = random.Random(4)
+    rows = [(i % 3, i, rng.randrange(50)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, id int, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordering.global_rank(df.repartition(7), [F.desc("v"), "id"]).collect()
+        assert [(r.position, r.id) for r in sorted(got, key=lambda r: r.position)] == [(i + 1, r[1]) for i, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))]
+        ranks = ordering.group_rank(df.repartition(7), "g", ["v", "id"], "rank").collect()
+        for g in range(3):
+            assert [r.id for r in sorted([r for r in ranks if r.g == g], key=lambda r: r["rank"])] == [r[1] for r in sorted([r for r in rows if r[0] == g], key=lambda r: (r[2], r[1]))]
+        middle = {r.g: r.m for r in ordering.order_statistics(df, "g", "v", {"m": F.floor(F.col("n") / 2)}).collect()}
+        assert middle == {g: sorted(r[2] for r in rows if r[0] == g)[sum(r[0] == g for r in rows) // 2] for g in range(3)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ordering.global_rank(df.limit(0), ["v", "id"]).isEmpty()
