@@ -24,7 +24,7 @@ def _count(spans: str, kind: str) -> Column:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_pii(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     base = found.withColumn("base", F.filter("pii", lambda s: s.base))
     return base.select("doc_id", *[_count("base", k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
