@@ -18,6 +18,17 @@ def interval_overlap(left: DataFrame, right: DataFrame, on: list[str], left_span
     return met.filter((start <= F.least(F.col(left_span[1]), F.col(right_span[1]))) & (F.floor(start / width) == F.col("_cell"))).drop("_cell")
 
 
+def against_all(rows: DataFrame, queries: DataFrame, key: str, block: int = 2000) -> DataFrame:
+    """Every row with every row of a stated set of queries, block by block: what is broadcast at once is about ``block`` queries."""
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    parts = [rows.join(F.broadcast(dealt.filter(F.col("_block") == b).drop("_block"))) for b in range(blocks)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
 def array_contains_join(left: DataFrame, ids: str, right: DataFrame, key: str) -> DataFrame:
     """Each left row with each right row whose key is in its array; a key listed twice counts once."""
     return left.withColumn("_key", F.explode(F.array_distinct(ids))).join(right, F.col("_key") == right[key]).drop("_key")

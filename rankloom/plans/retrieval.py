@@ -9,6 +9,7 @@ from ..functions import scores
 from ..functions.text import MARKED, PLAIN, STOP_WORDS
 from ..functions.vectors import cosine, top_mean
 from ..operators import retrieval as R
+from ..operators.joins import against_all
 from ..operators.ranking import authority
 from .base import query, table
 
@@ -81,7 +82,7 @@ def lane_overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    scored = vectors.join(asked).select("query_id", "vec_id", F.round(cosine(F.col("asked"), F.col("embedding")), 6).alias("score"))
+    scored = against_all(vectors, asked, "query_id").select("query_id", "vec_id", F.round(cosine(F.col("asked"), F.col("embedding")), 6).alias("score"))
     return R.ranked(scored, ["query_id"], "score", ["vec_id"], 10)
 
 
