@@ -11,8 +11,8 @@ from ..operators.workspace import Workspace
 #: An item contained to 0.8 has each minimum in the document with probability 0.8, so these miss it less than once in a
 #: million times; the smallest items keep every shingle and are not missed at all.
 SIZE_CLASSES = ((8, 8, 0.8), (40, 18, 4), (1 << 62, 30, 10))
-#: Rows of kept minima up to which they are broadcast (about 50 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: The items' minima or shingles are broadcast if they take at most so many bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 100_000_000
 
 
 def _words(text: str) -> Column:
@@ -61,8 +61,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 8
     minima = drawn.select("item", "hash", F.explode("turns").alias("turn")).groupBy("item", "turn").agg(F.min_by("hash", F.xxhash64("turn", "hash")).alias("hash"))
     every = drawn.filter(F.size("turns") == 0).groupBy("item").agg(F.array_sort(F.collect_set("hash")).alias("all")).select("item", F.posexplode("all").alias("turn", "hash"))
     kept = ws.save(minima.select("hash", "item", "turn").union(every.select("hash", "item", "turn")))
-    if kept.count() <= BROADCAST_ROWS:
-        kept = F.broadcast(kept)
+    kept, grams = _small(kept, F.lit(48)), _small(grams, F.octet_length("gram") + 48)
 
     hashes = given.select("doc", F.explode_outer(_shingles(k, "xxhash64(")).alias("hash"))
     met = hashes.join(kept, "hash").groupBy("doc", "item").agg(F.bit_or(F.expr("shiftleft(1L, turn)")).alias("turns"))
@@ -74,6 +73,11 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 8
     return shared.filter(100 * F.col("n_shared") >= percent * F.col("n_item")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
+def _small(table: DataFrame, row_bytes: Column) -> DataFrame:
+    size = table.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
 def _grams(rows: DataFrame, k: int, key: str = "item") -> DataFrame:
     """(key, gram, hash): every shingle as text and as the hash that the scan computes."""
     both = rows.select(key, F.arrays_zip(_shingles(k, "concat_ws(' ', ").alias("gram"), _shingles(k, "xxhash64(").alias("hash")).alias("pairs"))
