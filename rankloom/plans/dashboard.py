@@ -34,7 +34,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with series as (select l_returnflag as lane, l_orderkey, max(l_extendedprice) as score, row_number() over (partition by l_returnflag order by max(l_extendedprice) desc, l_orderkey) as rank from lineitem group by all)
+    with series as (select l_returnflag as lane, l_orderkey, max(l_extendedprice) as score, row_number() over (partition by l_returnflag order by max(l_extendedprice) desc, l_orderkey) as rank from lineitem group by 1, 2)
     select i as rank, max(score) filter (lane = 'A') as a, max(score) filter (lane = 'N') as n, max(score) filter (lane = 'R') as r from range(1, 201) t(i) left join series on rank = i group by i
 """)
 def rank_series(spark: SparkSession, sf_dir: str) -> DataFrame:
