@@ -18,7 +18,8 @@ from ..operators.workspace import Workspace
 BAND_ROWS = 4
 #: The chance that two texts just at the threshold share no band.
 MISS = 1e-5
-BLOCK = 256
+#: Sets, and shingles in them, of half a block on average.
+BLOCK, BLOCK_SHINGLES = 256, 150_000
 BIN = 0.05
 
 
@@ -186,15 +187,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # an id repeated with several texts: the text of the set that it names
     sets = ws.save(given.join(needed.hint("shuffle_hash"), "id").mapInArrow(_sets_of(k), "id long, shingles array<long>").groupBy("id").agg(F.max("shingles").alias("shingles")))
     side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"{name}_set"))
-    shared = stars.join(side("rep"), "rep").join(side("centre"), "centre").select("rep", "centre", _shared(F.col("rep_set"), F.col("centre_set")).alias("shared"), (F.size("rep_set") + F.size("centre_set")).alias("both"))
-    met = ws.save(shared.select("rep", "centre", (100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).alias("linked"), (1 - F.col("shared") / (F.col("both") - F.col("shared"))).alias("distance")))
+    shared = stars.join(side("rep"), "rep").join(side("centre"), "centre").select("rep", "centre", _shared(F.col("rep_set"), F.col("centre_set")).alias("shared"), (F.size("rep_set") + F.size("centre_set")).alias("both"), F.size("rep_set").alias("held"))
+    met = ws.save(shared.select("rep", "centre", "held", (100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).alias("linked"), (1 - F.col("shared") / (F.col("both") - F.col("shared"))).alias("distance")))
     star_links = met.filter("linked").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
 
     # 3. sets around one centre that are still apart
     first = components(star_links, ws)
     around = met.join(first.select(F.col("id").alias("rep"), F.col("component").alias("own")), "rep", "left").join(first.select(F.col("id").alias("centre"), F.col("component").alias("home")), "centre", "left")
-    around = ws.save(around.select("centre", "rep", F.coalesce(F.col("own") == F.col("home"), F.lit(False)).alias("inner"), F.floor(F.col("distance") / BIN).cast("int").alias("bin")))
-    counted = around.groupBy("centre", "inner", "bin").agg(F.count("*").alias("size")).groupBy("centre").agg(F.collect_list(F.struct("inner", "bin", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))).alias("chunks"), F.count_if(~F.col("inner")).alias("open"), F.sum("size").alias("all"))
+    around = ws.save(around.select("centre", "rep", "held", F.coalesce(F.col("own") == F.col("home"), F.lit(False)).alias("inner"), F.floor(F.col("distance") / BIN).cast("int").alias("bin")))
+    counted = around.groupBy("centre", "inner", "bin").agg(F.count("*").alias("size"), F.sum("held").alias("held")).groupBy("centre").agg(F.collect_list(F.struct("inner", "bin", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("held") / BLOCK_SHINGLES)).cast("int").alias("parts"))).alias("chunks"), F.count_if(~F.col("inner")).alias("open"), F.sum("size").alias("all"))
     chunks = ws.save(counted.filter("open > 0 and all > 1").select("centre", "chunks"))
     reach = math.ceil((1 - percent / 100) / BIN - 1e-9)
     dealt = around.join(chunks, "centre").withColumn("own", F.expr("filter(chunks, c -> c.inner = inner and c.bin = bin)[0].parts"))
