@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Titles that name no work.  Fixed values.
-JUNK_TITLES = ["", "untitled", "no title", "title", "unknown", "n a", "na", "none", "null", "index", "contents", "table of contents", "front matter", "back matter", "cover"]
+#: Normalised titles that name no work; a blank one does not either.  Fixed values.
+JUNK_TITLES = [
+    "index", "references", "table of contents", "contents", "editorial", "book review", "book reviews", "bibliography", "preface", "foreword",
+    "acknowledgements", "acknowledgments", "conclusion", "conclusions", "introduction",
+]
 
 
 def is_junk_title(normalized: Column) -> Column:
-    return normalized.isin(JUNK_TITLES)
+    return normalized.isin("", *JUNK_TITLES)
 
 
 def is_atomic_exclusion(term: Column) -> Column:

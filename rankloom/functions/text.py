@@ -6,26 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that no lane counts.  Fixed values.
-STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was were with der die das und oder ein eine ist im in zu den von mit auf des dem".split()
+STOP_WORDS = "a an and are as at be bei by das dem den der des die ein eine einer eines for from im in into is ist mit of on or the to und von with zu".split()
 #: Letters with marks and what they fold to.  Fixed values.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 #: Named character entities.  Fixed values.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 PARATEXT = "books received|erratum|correction|editorial|preface|introduction|obituary"
-GENERIC_TITLES = "introduction|background|conclusion|conclusions|discussion|results|methods|abstract|summary|references|appendix|overview"
-#: Section types and the words that their titles begin with; the first that fits counts.  Fixed values.
+GENERIC_TITLES = ["introduction", "conclusion", "discussion", "results", "research design", "methods", "method", "abstract", "background"]
+NUMBERED_GENERIC = "[0-9]+\\.?\\s+(introduction|discussion|conclusion|results|methods?)"
+#: Section types and the keys (regular expressions, whole) of their titles; the first that fits counts.  Fixed values.
 SECTION_TYPES = {
-    "abstract": "abstract|summary|zusammenfassung",
-    "introduction": "introduction|einleitung|background",
-    "related_work": "related work|literature review|state of the art",
-    "method": "method|methodology|materials|approach",
-    "results": "results?|findings|ergebnisse",
-    "discussion": "discussion|diskussion|limitations",
-    "conclusion": "conclusions?|fazit|outlook",
-    "references": "references|bibliography|literatur",
-    "appendix": "appendix|anhang|supplement",
-    "acknowledgements": "acknowledge?ments?|danksagung",
+    "table_of_contents": "contents|table of contents|list of figures|list of tables",
+    "abstract": "abstract",
+    "introduction": "introduction|1 introduction",
+    "background": "background|literature review|theoretical background|related work|conceptual background|conceptual framework|theoretical framework|theory and hypotheses",
+    "methods": "methods?|methodology|research design|data and methods|materials and methods|data collection|research methods?|empirical setting|study design|measures?|main measures|measurement|measurement model|sample and procedures?|variables?",
+    "results": "results?|analysis and results|findings|matching and findings|empirical results|analysis|empirical analysis|results and discussion|data analysis",
+    "discussion": "discussion|discussion and implications|implications|theoretical implications|managerial implications|practical implications|limitations|limitations and future research",
+    "conclusion": "conclusion|conclusions|general discussion and conclusions?|summary and conclusion|future research|concluding remarks|summary|general discussion",
+    "references": "references|bibliography|works cited",
+    "appendix": "appendix(?:\\s+[a-z0-9]+)?|appendices|supplement(?:ary)? materials?|supplementary information",
+    "index": "index|subject index|author index|glossary|nomenclature|abbreviations?",
+    "acknowledgements": "acknowledg?ments?|author contributions|funding",
+    "front_matter": "front matter|title page|copyright page|preface|foreword|list of contributors|about the authors",
 }
+#: What a text is searched for, blanks included, to guess its language.  Fixed values.
+ENGLISH_WORDS, GERMAN_WORDS = ["the", "and", "of", "is", "for", "with"], ["der", "die", "das", "und", "mit", "nicht"]
 
 
 def or_empty(x: Column) -> Column:
@@ -112,12 +118,31 @@ def alnum_ratio(x: Column) -> Column:
     return F.coalesce(F.try_divide(F.length(F.regexp_replace(x, "[^\\p{L}\\p{N}]", "")), F.length(x)), F.lit(0.0))
 
 
+def heading_key(title: Column) -> Column:
+    """Without numbering, folded and lower-cased, runs of anything but a-z and 0-9 a space."""
+    return F.trim(F.regexp_replace(F.lower(ascii_fold(strip_numbering(title))), "[^a-z0-9]+", " "))
+
+
 def section_type(title: Column) -> Column:
-    t = F.lower(strip_numbering(title))
+    key = heading_key(title)
     out = F
-    for name, words in SECTION_TYPES.items():
-        out = out.when(t.rlike(f"^({words})\\b"), name)
-    return out.otherwise("body")
+    for name, keys in SECTION_TYPES.items():
+        out = out.when(key.rlike(f"^({keys})$"), name)
+    return out.otherwise("body_other")
+
+
+def language_guess(x: Column) -> Column:
+    """de where German words are over 1.2 times as frequent as English ones, else en if there is any of those, else unknown."""
+    sample = F.concat(F.lit(" "), F.lower(ascii_fold(x)), F.lit(" "))
+
+    def hits(words: list[str]) -> Column:
+        total = F.lit(0)
+        for w in words:
+            total = total + (F.length(sample) - F.length(F.replace(sample, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)
+        return total
+
+    english, german = hits(ENGLISH_WORDS), hits(GERMAN_WORDS)
+    return F.when(german > 1.2 * english, "de").when(english > 0, "en").otherwise("unknown")
 
 
 def is_paratext(title: Column) -> Column:
@@ -126,7 +151,8 @@ def is_paratext(title: Column) -> Column:
 
 
 def is_generic_title(title: Column) -> Column:
-    return F.lower(strip_numbering(title)).rlike(f"^({GENERIC_TITLES})$")
+    low = F.lower(clean_text(title))
+    return low.isin(GENERIC_TITLES) | low.rlike(f"^{NUMBERED_GENERIC}$")
 
 
 def contains_term(text: Column, term: Column) -> Column:

@@ -16,7 +16,7 @@ from .joins import title_similarity as jaccard
 #: Keys of titles that are furniture, and of those that only wrap others.  Fixed values.
 KNOWN_NOISE = "(page|seite) [0-9]+|figure [0-9]+.*|table [0-9]+.*|abbildung [0-9]+.*|tabelle [0-9]+.*|copyright.*|all rights reserved.*|downloaded from.*"
 WRAPPERS = "(part|chapter|kapitel|teil|section) ([0-9]+|[ivxlc]+)"
-SUPPRESSED_TYPES = ["references", "appendix", "acknowledgements"]
+SUPPRESSED_TYPES = ["table_of_contents", "index", "references", "acknowledgements"]
 
 
 @F.pandas_udf(DoubleType())
@@ -61,8 +61,8 @@ def wrapper_reasons(title: Column, kind: Column, words: Column, level: Column, c
         near_empty_section=words <= 15,
         suppressed_type=kind.isin(SUPPRESSED_TYPES),
         part_or_chapter_wrapper=key.rlike(f"^{WRAPPERS}$") & ((children > 0) | tiny | (words <= 120)),
-        tiny_parent_wrapper=(children > 0) & tiny & (kind == "body"),
-        micro_section=(level >= 2) & (T.count_words(title) <= most_title_words) & (words <= most_words) & (children == 0) & (kind == "body"),
+        tiny_parent_wrapper=(children > 0) & tiny & kind.isin("body_other", "front_matter"),
+        micro_section=(level >= 2) & (T.count_words(title) <= most_title_words) & (words <= most_words) & (children == 0) & (kind == "body_other"),
     )
 
 

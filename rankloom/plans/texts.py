@@ -86,8 +86,8 @@ _HEADINGS = ["1. Introduction", "2.3 Related work", "Chapter 4: Methods and data
     with h as (select p_partkey, ({_HEADINGS!r})[1 + p_partkey % 10] as title from part),
     s as (select *, trim(regexp_replace(regexp_replace(trim(title), '^(chapter|part|kapitel|teil)\\s+[0-9ivxlc]+[.:]?\\s+', '', 'i'), '^([0-9]+(\\.[0-9]+)*\\.?|[IVXLC]+\\.|[A-Z]\\.)\\s+', '')) as bare from h)
     select p_partkey, bare, coalesce(nullif(len(string_split(regexp_extract(title, '^([0-9]+(\\.[0-9]+)*)\\.?\\s', 1), '.')) * (regexp_extract(title, '^([0-9]+(\\.[0-9]+)*)\\.?\\s', 1) <> '')::int, 0), 1)::int as level,
-        case {" ".join(f"when regexp_matches(lower(bare), '^({w})\\b') then '{n}'" for n, w in T.SECTION_TYPES.items())} else 'body' end as kind,
-        regexp_matches(lower(title), '^({T.PARATEXT})\\b') as paratext, regexp_full_match(lower(bare), '{T.GENERIC_TITLES}') as generic from s
+        case {" ".join(f"when regexp_full_match(trim(regexp_replace(lower(bare), '[^a-z0-9]+', ' ', 'g')), '{w}') then '{n}'" for n, w in T.SECTION_TYPES.items())} else 'body_other' end as kind,
+        regexp_matches(lower(title), '^({T.PARATEXT})\\b') as paratext, lower(title) in ({", ".join(f"'{g}'" for g in T.GENERIC_TITLES)}) or regexp_full_match(lower(title), '{T.NUMBERED_GENERIC}') as generic from s
 """)
 def section_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = F.array(*map(F.lit, _HEADINGS))
@@ -96,17 +96,16 @@ def section_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("p_partkey", T.strip_numbering(t).alias("bare"), T.heading_level(t, F.lit(None).cast("int")).alias("level"), T.section_type(t).alias("kind"), T.is_paratext(t).alias("paratext"), T.is_generic_title(t).alias("generic"))
 
 
-_EN, _DE = "the|and|of|in|to|is|that|for", "der|die|das|und|in|zu|ist|den"
+def _hits(words: list[str]) -> str:
+    return " + ".join(f"(length(s) - length(replace(s, ' {w} ', ''))) / {len(w) + 2}" for w in words)
 
 
 @query(f"""
-    with c as (select doc_id, len(regexp_extract_all(lower(text), '\\b({_EN})\\b')) as en, len(regexp_extract_all(lower(text), '\\b({_DE})\\b')) as de from documents)
-    select doc_id, case when en + de = 0 then 'unknown' when de > 1.2 * en then 'de' else 'en' end as guess from c
+    with s as (select doc_id, ' ' || lower({_FOLD}) || ' ' as s from documents), c as (select doc_id, {_hits(T.ENGLISH_WORDS)} as en, {_hits(T.GERMAN_WORDS)} as de from s)
+    select doc_id, case when de > 1.2 * en then 'de' when en > 0 then 'en' else 'unknown' end as guess from c
 """)
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lambda words: F.regexp_count(F.lower("text"), F.lit(f"\\b({words})\\b"))
-    c = table(spark, sf_dir, "documents").select("doc_id", hits(_EN).alias("en"), hits(_DE).alias("de"))
-    return c.select("doc_id", F.when(F.col("en") + F.col("de") == 0, "unknown").when(F.col("de") > 1.2 * F.col("en"), "de").otherwise("en").alias("guess"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.language_guess(F.col("text")).alias("guess"))
 
 
 @query("""
