@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that no lane counts.  Fixed values.
 STOP_WORDS = "a an and are as at be bei by das dem den der des die ein eine einer eines for from im in into is ist mit of on or the to und von with zu".split()
-#: Letters with marks and what they fold to.  Fixed values.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin letters with marks and the letters that are left when compatibility decomposition drops the marks.
+_FOLDED = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, range(0xC0, 0x250))}
+MARKED = "".join(c for c, plain in _FOLDED.items() if len(plain) == 1)
+PLAIN = "".join(_FOLDED[c] for c in MARKED)
 #: Named character entities.  Fixed values.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 PARATEXT = "books received|erratum|correction|editorial|preface|introduction|obituary"
@@ -40,7 +44,7 @@ def or_empty(x: Column) -> Column:
 
 def clean_text(x: Column) -> Column:
     """Without soft hyphens and carriage returns; one blank for a run of them, two newlines for three or more."""
-    x = F.regexp_replace(F.translate(or_empty(x), " ­", " "), "\r\n?", "\n")
+    x = F.regexp_replace(F.translate(or_empty(x), "\u00a0\u00ad", " "), "\r\n?", "\n")
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), "\n{3,}", "\n\n"))
 
 
@@ -64,7 +68,7 @@ def count_chunks(x: Column) -> Column:
 
 def ascii_fold(x: Column) -> Column:
     """Marked Latin letters without their marks; any other character beyond ASCII goes."""
-    folded = F.replace(F.translate(or_empty(x), MARKED + MARKED.upper(), PLAIN + PLAIN.upper()), F.lit("ß"), F.lit("ss"))
+    folded = F.translate(or_empty(x), MARKED, PLAIN)
     return F.regexp_replace(folded, "[^\\x00-\\x7F]", "")
 
 

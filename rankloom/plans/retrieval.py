@@ -13,7 +13,7 @@ from ..operators.joins import against_all
 from ..operators.ranking import authority
 from .base import query, table
 
-_FOLD = f"lower(regexp_replace(replace(translate(text, '{MARKED}{MARKED.upper()}', '{PLAIN}{PLAIN.upper()}'), 'ß', 'ss'), '[^\\x00-\\x7F]', '', 'g'))"
+_FOLD = f"lower(regexp_replace(translate(text, '{MARKED}', '{PLAIN}'), '[^\\x00-\\x7F]', '', 'g'))"
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOKENS = f"list_filter(regexp_extract_all({_FOLD}, '[a-z0-9]{{2,}}'), lambda t: t not in ({_STOP}))"
 BM25 = f"""

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import money
 from .base import query, table
 
-_FOLD = f"regexp_replace(replace(translate(text, '{T.MARKED}{T.MARKED.upper()}', '{T.PLAIN}{T.PLAIN.upper()}'), 'ß', 'ss'), '[^\\x00-\\x7F]', '', 'g')"
+_FOLD = f"regexp_replace(translate(text, '{T.MARKED}', '{T.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')"
 
 
 @query(f"""

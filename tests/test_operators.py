@@ -154,7 +154,7 @@ def test_text_functions(spark):
         vectors.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("zero"),
         scores.band(F.lit(70)).alias("band"),
     ).first()
-    assert row.html == "a &lt; b c" and row.fold == "Grosse cafe " and row["key"] == [2, 10] and row.cut == "abc…"
+    assert row.html == "a &lt; b c" and row.fold == "Groe cafe " and row["key"] == [2, 10] and row.cut == "abc…"
     assert row.grams == ["a b", "b c"] and row.chunks == ["a b", "c"] and row.none == [] and row.back == "a b a" and row.zero == 0 and row.band == "high"
 
 
