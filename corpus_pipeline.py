@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import langid
-from rankloom.llm.bpe import bpe_decode, bpe_encode
+from rankloom.llm.bpe import bpe_encode
 from rankloom.llm.decontaminate import contaminated
 from rankloom.llm.linededup import dedup_lines
 from rankloom.llm.neardup import near_duplicates
@@ -44,8 +44,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and a digest of what they decode to."""
-    path = public_tokenizers.path(TOKENIZER)
-    coded = bpe_decode(bpe_encode(docs, path).drop("text"), path)
+    coded = bpe_encode(docs, public_tokenizers.path(TOKENIZER), decoded_col="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -21,8 +21,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 SPACE = "[\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
-#: Words whose ids a worker remembers, about 150 MB; beyond it the memory starts anew.
-WORD_CACHE = 500_000
+#: Words whose ids a worker remembers, about 100 MB; beyond it the memory starts anew.
+WORD_CACHE = 350_000
 
 
 def byte_characters() -> list[str]:
@@ -134,9 +134,10 @@ def _with_column(part: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
     return pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, name])
 
 
-def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of each whole text in ``ids_col`` (array<int>), as the tokenizers
-    library gives them for the file ``tokenizer`` without special tokens added.
+    library gives them for the file ``tokenizer`` without special tokens added; with ``decoded_col``
+    also what bpe_decode() makes of the ids, in the same pass.
 
     Where two bytes of a word stand together in no vocabulary token, no merge can
     ever join them: the word is cut there, the fragments are encoded on their own
@@ -154,10 +155,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col:
         for part in texts.chunks(batches, text_col):
             rows = [coder.encode(t or "") for t in part.column(text_col).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            yield _with_column(part, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows))))
+            out = _with_column(part, ids_col, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows))))
+            yield _with_column(out, decoded_col, pa.array([coder.decode(r.tolist()) for r in rows], pa.string())) if decoded_col else out
 
-    docs = docs.drop(ids_col)
-    return docs.mapInArrow(run, docs.withColumn(ids_col, F.lit(None).cast("array<int>")).schema)
+    docs = docs.drop(ids_col, decoded_col) if decoded_col else docs.drop(ids_col)
+    schema = docs.withColumn(ids_col, F.lit(None).cast("array<int>"))
+    return docs.mapInArrow(run, (schema.withColumn(decoded_col, F.lit(None).cast("string")) if decoded_col else schema).schema)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, langid, pii, secrets
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .decontaminate import contaminated
 from .hamming import nearest_codes
 from .linededup import dedup_lines
@@ -84,8 +84,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    coded = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    coded = bpe_encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), decoded_col="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -303,8 +303,9 @@ def test_bpe_equals_the_library(spark, documents):
     library = Tokenizer.from_file(TOKENIZER)
     odd = ["", "a<|endoftext|>B <|startoftext|>", "Σίσυφος ΑΣ", "é İstanbul ²½Ⅷ 12", "x\x1cy\x85z", "don't WE'LL 'S", "日本語テキスト 한국어", "👩‍👩‍👧 ok", "a" * 3000, "\x00\x01", "ｆｕｌｌ"]
     rows = list(enumerate(odd)) + [(1000 + i, t) for i, t in documents] + [(-1, None)]
-    coded = bpe_decode(bpe_encode(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER), TOKENIZER)
-    got = {r.doc_id: (r.ids, r.decoded) for r in coded.collect()}
+    coded = bpe_decode(bpe_encode(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, decoded_col="same"), TOKENIZER).collect()
+    assert all(r.same == r.decoded for r in coded)
+    got = {r.doc_id: (r.ids, r.decoded) for r in coded}
     for i, t in rows:
         expected = library.encode(t or "", add_special_tokens=False).ids
         assert got[i] == (expected, library.decode(expected, skip_special_tokens=False)), t
