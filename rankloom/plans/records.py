@@ -216,3 +216,28 @@ def cascading_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).alias("plan"), (F.col("s_nationkey") % 5).alias("facet"))
     return s.groupBy("plan").agg(F.count("*").alias("facets"), (F.count("*") - F.countDistinct("facet")).alias("repeated"), F.array_join(F.array_sort(F.collect_set(F.col("facet").cast("string"))), ",").alias("ids"))
+
+
+@query("""
+    with c as (select user_id, event_id, ts, case when event_type = 'purchase' then 'work ' || event_id end as full_title from events)
+    select user_id, event_id, coalesce(full_title, last_value(full_title ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)) as cited, full_title is null as shorthand from c
+""")
+def citation_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short citation stands for the last full one before it in its group; null where there is none."""
+    full = F.when(F.col("event_type") == "purchase", F.concat(F.lit("work "), F.col("event_id").cast("string")))
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = table(spark, sf_dir, "events").withColumn("full", full)
+    return rows.select("user_id", "event_id", F.coalesce("full", F.last("full", ignorenulls=True).over(before)).alias("cited"), F.col("full").isNull().alias("shorthand"))
+
+
+@query("""
+    select a.p_partkey, case when length(b.p_name) > length(a.p_name) then b.p_name else a.p_name end as title, coalesce(case when a.p_size % 3 > 0 then a.p_size end, b.p_size) as year, greatest(a.p_retailprice, b.p_retailprice) as citations,
+        array_to_string(list_sort(list_distinct([a.p_brand, b.p_brand])), ';') as providers from part a join part b on b.p_partkey = a.p_partkey + 1
+""")
+def recommendation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A known record and its recommended copy: a text is replaced only by a longer one, a year only where it is missing."""
+    part = table(spark, sf_dir, "part")
+    a = part.select("p_partkey", F.col("p_name").alias("title_a"), F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("year_a"), F.col("p_retailprice").alias("cited_a"), F.col("p_brand").alias("from_a"))
+    b = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("title_b"), F.col("p_size").alias("year_b"), F.col("p_retailprice").alias("cited_b"), F.col("p_brand").alias("from_b"))
+    longer = F.when(F.length("title_b") > F.length("title_a"), F.col("title_b")).otherwise(F.col("title_a"))
+    return a.join(b, "p_partkey").select("p_partkey", longer.alias("title"), F.coalesce("year_a", "year_b").alias("year"), F.greatest("cited_a", "cited_b").alias("citations"), F.array_join(F.array_sort(F.array_distinct(F.array("from_a", "from_b"))), ";").alias("providers"))
