@@ -15,6 +15,8 @@ from . import texts
 UNDETERMINED = "und"
 #: Buckets of n-grams; the model has so many numbers for each language.
 BUCKETS = 1 << 16
+#: Bytes of text worked on at once; each makes about 150 bytes of arrays.
+CHUNK_BYTES = 500_000
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 #: More label values than this are taken for an error in the labels.
@@ -59,7 +61,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for part in texts.chunks(batches):
+        for part in texts.chunks(batches, size=CHUNK_BYTES):
             langs = part.column("lang").to_pylist()
             names = sorted(set(langs))
             code = np.array([names.index(x) for x in langs])
@@ -97,7 +99,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
         values = np.array([*names, UNDETERMINED], object)
-        for part in texts.chunks(batches, text_col):
+        for part in texts.chunks(batches, text_col, CHUNK_BYTES):
             best = np.full(part.num_rows, len(names))
             score = np.zeros(part.num_rows)
             if names:
