@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs; a document of which nothing is left goes."""
-    found = dedup_lines(docs).filter((F.size("removed") == 0) | (F.col("text") != ""))
+    found = dedup_lines(docs, whole=True).filter((F.size("removed") == 0) | (F.col("text") != ""))
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

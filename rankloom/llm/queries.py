@@ -46,7 +46,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = dedup_lines(documents.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")))
+    found = dedup_lines(documents.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")), whole=True)
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r.last - r.first + 1)
     return found.select("doc_id", "n_lines", gone.alias("n_removed"), F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r.first.cast("string"), r.last.cast("string"))), ",").alias("removed"), F.sha2("text", 256).alias("text_sha256"))
 

@@ -228,6 +228,31 @@ def test_line_dedup_equals_brute_force(spark, documents):
         assert got[i] == ("\n".join(x for j, x in enumerate(lines) if j not in gone), len(gone)), i
 
 
+def test_line_dedup_takes_whole_runs(spark):
+    rng = random.Random(7)
+    pool = [" ".join(f"l{i}w{j}" for j in range(rng.choice([0, 1, 3, 9, 30]))) for i in range(25)]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 20)))) for i in range(80)]
+    long = " ".join(f"q{j}" for j in range(30))
+    rows += [(100, f"{long}\nshort closing line\na"), (101, f"b\n{long}\nshort closing line\n\nc"), (102, f"{long}\nshort closing line\n\nd")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame, 25, whole=True).collect()}
+    seen = set()
+    for i, t in rows:
+        lines = t.split("\n")
+        n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n[a:b]) >= 25:
+                    run = tuple(lines[a:b])
+                    gone |= set(range(a, b)) if run in seen else set()
+                    seen.add(run)
+        assert got[i].text == "\n".join(x for j, x in enumerate(lines) if j not in gone), i
+        assert [j for x in got[i].removed for j in range(x.first, x.last + 1)] == sorted(gone), i
+        assert all(x.last + 1 < y.first for x, y in zip(got[i].removed, got[i].removed[1:])), i
+    assert got[101].text == "b\n\nc" and got[102].text == "d"
+
+
 # 6 language
 
 
