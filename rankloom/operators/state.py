@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: A slot further ahead than this is taken for an error of the clock.
+MAX_FUTURE = 86_400_000
 
 
-def rate_limit(requests: DataFrame, key: str, at: str, order: list[str], interval: int, buffer: int) -> DataFrame:
+def rate_limit(requests: DataFrame, key: str, at: str, order: list[str], interval: int, buffer: int, max_future: int = MAX_FUTURE) -> DataFrame:
     """``requests`` with reserved and wait: each takes the later of now + buffer and the last reservation + interval.
 
-    Unrolled, the i-th reservation is the maximum over j <= i of now_j + buffer + (i - j) * interval, so a running
-    maximum replaces the replay.
+    A next slot more than ``max_future`` ahead of now is reset to now (never, where that is 0), so
+    there is no closed form: each key's requests are replayed in order, a batch at a time, and
+    what is kept between batches is the next slot. A request without a time reserves nothing.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    out = requests.withColumn("_i", F.row_number().over(w))
-    reach = F.max(F.col(at) + buffer - F.col("_i") * interval).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("reserved", reach + F.col("_i") * interval).withColumn("wait", F.col("reserved") - F.col(at)).drop("_i")
+    schema = T.StructType([*requests.schema.fields, T.StructField("reserved", T.LongType()), T.StructField("wait", T.LongType())])
+
+    def replay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, following = None, 0
+        for batch in batches:
+            reserved, wait = [], []
+            for name, now in zip(batch.column(key).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if name != last:
+                    last, following = name, 0
+                if now is None:
+                    reserved.append(None)
+                    wait.append(None)
+                    continue
+                slot = reserve(now, following, buffer, max_future)
+                following = slot + interval
+                reserved.append(slot)
+                wait.append(slot - now)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reserved, pa.int64()), pa.array(wait, pa.int64())], [*batch.schema.names, "reserved", "wait"])
+
+    return requests.repartition(key).sortWithinPartitions(key, *order).mapInArrow(replay, schema)
+
+
+def reserve(now: int, following: int, buffer: int, max_future: int) -> int:
+    """The slot of a request at ``now`` where the next free one is ``following``."""
+    if max_future > 0 and following > now + max_future:
+        following = now
+    return max(now + buffer, following)
 
 
 def task_counters(events: DataFrame, group: str, task: str, status: str, order: list[str]) -> DataFrame:

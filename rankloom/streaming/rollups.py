@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.state import MAX_FUTURE, reserve
+
 
 def read_events(spark: SparkSession, directory: str, file: str, files_per_trigger: int = 100) -> DataFrame:
     """A stream of the Parquet files named ``file`` (a glob) in a directory."""
@@ -39,19 +41,19 @@ def windowed_counts(events: DataFrame, at: str, length: str, delay: str, key: st
     return events.withWatermark(at, delay).groupBy(F.window(at, length), key).agg(F.count("*").alias("n"))
 
 
-def rate_limit(requests: DataFrame, key: str, interval: int, buffer: int) -> DataFrame:
-    """(key, at, reserved) of a stream of requests with a millisecond clock ``at``; the state is the time of the next slot."""
+def rate_limit(requests: DataFrame, key: str, interval: int, buffer: int, max_future: int = MAX_FUTURE) -> DataFrame:
+    """(key, at, reserved) of a stream of requests with a millisecond clock ``at``; the state is the time of the next slot, reset to now where it is more than ``max_future`` ahead."""
     kind = requests.schema[key].dataType.simpleString()
 
-    def reserve(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def replay(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         following = state.get[0] if state.exists else 0
         for pdf in batches:
             at = pdf["at"].sort_values()
             reserved = []
             for now in at:
-                reserved.append(max(now + buffer, following))
+                reserved.append(reserve(now, following, buffer, max_future))
                 following = reserved[-1] + interval
             yield pd.DataFrame({key: name[0], "at": at.to_numpy(), "reserved": reserved})
         state.update((following,))
 
-    return requests.groupBy(key).applyInPandasWithState(reserve, f"{key} {kind}, at long, reserved long", "following long", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy(key).applyInPandasWithState(replay, f"{key} {kind}, at long, reserved long", "following long", "append", GroupStateTimeout.NoTimeout)

@@ -94,6 +94,25 @@ def test_rate_limit_closed_form_equals_a_loop(spark):
     assert [r.reserved for r in got.orderBy("i").collect()] == expected
 
 
+def test_rate_limit_resets_slots_too_far_ahead(spark, tmp_path):
+    rows = [(p, i, 7 * i) for p in ("p", "q") for i in range(60)]
+    expected, following = {}, {}
+    for p, _, now in rows:
+        after = following.get(p, 0)
+        after = now if after > now + 500 else after
+        expected[p, now] = max(now + 5, after)
+        following[p] = expected[p, now] + 100
+    frame = spark.createDataFrame(rows, "p string, i int, at long")
+    got = state.rate_limit(frame, "p", "at", ["i"], 100, 5, 500).collect()
+    assert {(r.p, r.at): r.reserved for r in got} == expected and all(r.wait == r.reserved - r.at <= 500 for r in got)
+    frame.select("p", "at").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = rollups.rate_limit(spark.readStream.schema("p string, at long").parquet(str(tmp_path / "in")), "p", 100, 5, 500)
+    stream.writeStream.format("memory").queryName("reset").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.p, r.at): r.reserved for r in spark.table("reset").collect()} == expected
+    day = spark.createDataFrame([("p", i, i) for i in range(30)], "p string, i int, at long")
+    assert max(r.wait for r in state.rate_limit(day, "p", "at", ["i"], 3_600_000 * 2, 5).collect()) <= 86_400_000
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([("p", a) for a in (0, 10, 500, 510)] + [("q", 7)], "p string, at long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
