@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,6 +347,21 @@ def test_bpe_cuts_where_no_token_joins():
 # 10 language model
 
 
+def test_lm_learns_from_every_window(documents, monkeypatch):
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    held = SimpleNamespace(value={"source": open(TOKENIZER).read()})
+    ids, given = zip(*documents[:20], strict=True)
+    given = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(given), pa.array([i % 4 == 0 for i in range(20)])], ["id", "text", "out"])
+    end = lm.Pieces(held.value["source"]).size
+    blocks = list(lm._blocks(held)([given]))
+    subwords = 0
+    for row in blocks[0].to_pylist():
+        lengths = lm._unpacked(row, end)[3]
+        subwords += int(lengths[~np.array(row["out"])].sum())
+    start = SimpleNamespace(value={"counts": np.ones(end + 1, np.int64), "flat": None})
+    assert len(blocks) == 1 and [b.column("n").to_pylist() for b in lm._trained(start, end)(blocks)] == [[subwords]]
+
+
 def test_lm_base_scores_and_probabilities(spark, documents):
     got = {r.doc_id: r for r in queries.op10_lm_score(spark, DATA).collect()}
     tokens = {i: [*words(t), None] for i, t in documents}
