@@ -73,8 +73,31 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
+_NEAR = 64
+_CELL_VALUES = mix(np.arange(1, _NEAR * 256 + 1, dtype=_U) * _GOLDEN)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every word: the sum of a value for each byte at its place in the word, mixed with the length."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    body, first = data[starts[0] :], starts - starts[0]
+    cell = np.arange(len(body)) - np.repeat(first, np.diff(first, append=len(body)))
+    cell <<= 8
+    cell |= _LOWER[body]
+    values = _CELL_VALUES.take(cell, mode="clip")
+    far = np.flatnonzero(cell >= len(_CELL_VALUES))
+    values[far] = mix((cell[far] + 1).astype(_U) * _GOLDEN)
+    values[_SPACE[body]] = 0
+    return mix(np.add.reduceat(values, first) + (ends - starts).astype(_U) * _GOLDEN)
+
+
 class Hashes:
-    """Hashes of any stretch of lower-cased bytes, from prefix sums."""
+    """Hashes of any short stretch of lower-cased bytes, from prefix sums.
+
+    Polynomials modulo 2^64 have pairs of long texts that collide (from about
+    a thousand bytes on), so whole words are told apart by word_hashes() instead.
+    """
 
     def __init__(self, data: np.ndarray):
         powers = np.full(len(data), _BASE, _U)
@@ -96,7 +119,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(data):
         return np.zeros(0, _U), np.zeros(0, np.int64)
     starts, ends = word_spans(data, offsets)
-    return Hashes(data)(starts, ends), np.searchsorted(offsets, starts, "right") - 1
+    return word_hashes(data, starts, ends), np.searchsorted(offsets, starts, "right") - 1
 
 
 def shingles(word: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -347,19 +347,107 @@ def test_bpe_cuts_where_no_token_joins():
 # 10 language model
 
 
-def test_lm_learns_from_every_window(documents, monkeypatch):
-    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+@pytest.fixture(scope="module")
+def lm_parts(documents):
+    """The model's parts made in this process: blocks, counts by block, lexicon, counts of pieces."""
+    ids, given = zip(*documents[:60], strict=True)
+    given = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(given), pa.array([i % 4 == 0 for i in range(60)])], ["id", "text", "out"])
     held = SimpleNamespace(value={"source": open(TOKENIZER).read()})
-    ids, given = zip(*documents[:20], strict=True)
-    given = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(given), pa.array([i % 4 == 0 for i in range(20)])], ["id", "text", "out"])
     end = lm.Pieces(held.value["source"]).size
-    blocks = list(lm._blocks(held)([given]))
-    subwords = 0
-    for row in blocks[0].to_pylist():
-        lengths = lm._unpacked(row, end)[3]
-        subwords += int(lengths[~np.array(row["out"])].sum())
-    start = SimpleNamespace(value={"counts": np.ones(end + 1, np.int64), "flat": None})
-    assert len(blocks) == 1 and [b.column("n").to_pylist() for b in lm._trained(start, end)(blocks)] == [[subwords]]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+        blocks = list(lm._blocks(held)([given]))
+    rows = [r for b in blocks for r in b.to_pylist()]
+    total, begin = Counter(), {}
+    for r in rows:
+        for h, n, g in zip(r["hashes"], r["learned"], r["begins"], strict=True):
+            total[h] += n
+            begin[h] = g
+    tokens, types = np.zeros(end + 1, np.int64), np.zeros(end + 1, np.int64)
+    for h, n in total.items():
+        tokens[begin[h]] += n
+        types[begin[h]] += n > 0
+    lexicon = lm.Lexicon(tokens, types)
+    read = lambda batches, n: np.bincount(*[np.concatenate([b.column(i).to_numpy() for b in batches]) for i in (0, 1)], n)
+    profiles = read(list(lm._counted(SimpleNamespace(value={"markers": lexicon.markers}), end)(blocks)), (lm.MARKERS + 1) * end).reshape(-1, end)
+    lexicon.group(profiles[:-1].T)
+    pairs = read(list(lm._paired(SimpleNamespace(value={"pieces": profiles[-1]}))(blocks)), lm.SPELLING**2)
+    lexicon.spell(profiles[-1], pairs.reshape(lm.SPELLING, -1))
+    return SimpleNamespace(blocks=blocks, rows=rows, total=total, lexicon=lexicon, pieces=profiles[-1] + tokens[:-1], end=end)
+
+
+def test_lm_learns_from_every_window(lm_parts, monkeypatch):
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    learned = sum(n + 1 for r in lm_parts.rows for n, out in zip(r["words"], r["out"], strict=True) if not out)
+    start = SimpleNamespace(value={"pieces": lm_parts.pieces, "mass": lm_parts.lexicon.mass, "classes": lm_parts.lexicon.classes, "flat": None})
+    assert [b.column("n").to_pylist() for b in lm._trained(start)(lm_parts.blocks)] == [[learned]]
+
+
+def test_lm_rounds_hold_every_block_once():
+    assert lm.ROUNDS[0] == 0 and list(lm.ROUNDS) == sorted(set(lm.ROUNDS))
+
+
+def test_lm_score_equals_a_plain_one(lm_parts, documents):
+    """Word by word, with the attention of each window written out."""
+    lex, rng = lm_parts.lexicon, np.random.default_rng(3)
+    model = lm.Attention(lm_parts.pieces, lex.mass)
+    model.flat += rng.normal(0, 0.3, len(model.flat)).astype(np.float32)
+    row = lm_parts.rows[0]
+    counts = np.array([lm_parts.total[h] for h in row["hashes"]])
+    shared = SimpleNamespace(value={"pieces": lm_parts.pieces, "lexicon": lex, "flat": model.flat})
+    order = rng.permutation(len(counts))
+    scored = lm._scores(shared, 1000, 500)(pa.Table.from_pylist([row], lm_parts.blocks[0].schema), pa.table({"at": order, "n": counts[order]})).to_pydict()
+    block, w = lm.Block(row), model.w
+    pieces = np.split(block.subs, block.stops[:-1])
+
+    def share(word):
+        if word == len(pieces):
+            return 0.0
+        ids = pieces[word]
+        spelled = lex.begin[ids[0]] + sum(float(lex.follows[lex.kind[a], lex.kind[b]]) + lex.inside[b] for a, b in zip(ids, ids[1:]))
+        of = lex.classes[ids[0]]
+        if not lex.mass[of]:
+            return spelled
+        return math.log(max(counts[word] - lm.DISCOUNT, 0) / lex.mass[of] + lex.lost[of] / lex.mass[of] * math.exp(spelled))
+
+    def embedded(word):
+        begin, end = [(lm.OWN - 1,) * 2, (lm.OWN - 2,) * 2][word - len(pieces)] if word >= len(pieces) else (model.row[pieces[word][0]], model.row[pieces[word][-1]])
+        return w["embed"][begin] + w["embed"][end]
+
+    at = 0
+    for text in range(8):
+        said = [*block.place[at : at + row["words"][text]], len(pieces)]
+        at += row["words"][text]
+        read = [len(pieces) + 1, *said[:-1]]
+        expected = 0.0
+        for t, word in enumerate(said):
+            step = lm.WINDOW - lm.CONTEXT
+            first = 0 if t < lm.WINDOW else ((t - lm.CONTEXT) // step) * step
+            x = np.array([embedded(v) + w["place"][i] for i, v in enumerate(read[first : t + 1])])
+            q, k, v = np.split(x @ w["qkv"], 3, axis=1)
+            e = np.exp(k @ q[-1] / math.sqrt(lm.WIDTH))
+            logits = (x[-1] + (e / e.sum()) @ v @ w["join"]) @ w["out"] + w["bias"]
+            of = lex.classes[pieces[word][0]] if word < len(pieces) else lex.classes[-1]
+            expected += logits[of] - math.log(np.exp(logits).sum()) + share(word)
+        assert math.isclose(scored["score"][text], expected / math.log(10), rel_tol=1e-4), text
+
+
+def test_lm_words_of_a_class_are_a_distribution(lm_parts):
+    """Shares of the words of a class and of what is left to unseen ones add up to one."""
+    lex = lm_parts.lexicon
+    begin = {h: g for r in lm_parts.rows for h, g in zip(r["hashes"], r["begins"], strict=True)}
+    seen = np.zeros(lm.CLASSES)
+    for h, n in lm_parts.total.items():
+        seen[lex.classes[begin[h]]] += max(n - lm.DISCOUNT, 0)
+    full = lex.mass > 0
+    assert np.allclose((seen + lex.lost)[full], lex.mass[full])
+    assert np.allclose(np.exp(lex.follows).sum(axis=1), 1, atol=1e-4) and np.allclose(np.bincount(lex.kind, np.exp(lex.inside), lm.SPELLING)[np.unique(lex.kind)], 1)
+    assert np.allclose(np.bincount(lex.classes[:-1], np.exp(lex.begin), lm.CLASSES)[np.unique(lex.classes[:-1])], 1)
+
+
+def test_lm_beats_word_counts_on_held_out_texts(spark):
+    found = queries.op10_lm_score(spark, "/root/testdata/sf0.1").groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()
+    assert len(found) == 2 and all(r.score > r.base for r in found)
 
 
 def test_lm_base_scores_and_probabilities(spark, documents):
@@ -383,38 +471,55 @@ def test_lm_windows_score_every_token_once():
 
 def test_lm_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
-    n = 80
+    n = 40
     tokens = np.cumsum(rng.integers(1, 3, 8000)) % n  # each token tells much about the next one
-    model = lm.Attention(np.append(np.bincount(tokens, minlength=n), 1))
-    windows = lm.TextWindows(tokens, np.array([8000]), n + 1)
-    _, inputs, targets, _ = next(windows.batches(4))
-    total = sum(np.exp(model.score(inputs, np.full_like(targets, t))) for t in range(n + 1))
+    model = lm.Attention(np.bincount(tokens, minlength=n), np.ones(lm.CLASSES))
+    windows = lm.TextWindows(tokens, np.array([8000]), n)
+    given = lambda size: [(np.repeat(np.minimum(i, lm.OWN - 1)[:, :, None], 2, axis=2), t, c) for _, i, t, c in windows.batches(size)]
+    rows, targets, _ = given(4)[0]
+    total = sum(np.exp(model.score(rows, np.full_like(targets, c))) for c in range(lm.CLASSES))
     assert np.allclose(total, 1, atol=1e-3)
-    loss = lambda: -np.mean([model.score(i, t)[c].mean() for _, i, t, c in windows.batches(64)])
+    loss = lambda: -np.mean([model.score(i, t)[c].mean() for i, t, c in given(64)])
     before = loss()
-    for _ in range(4):
-        model.fit(windows.batches(32))
-    assert loss() < 0.75 * before
+    for _ in range(12):
+        model.fit(given(32))
+    assert loss() < 0.5 * before
 
 
 def test_lm_gradient_is_right():
     rng = np.random.default_rng(1)
-    model = lm.Attention(rng.integers(1, 99, 301))
+    model = lm.Attention(rng.integers(1, 99, 301), rng.integers(1, 99, lm.CLASSES))
     model.flat *= 2
-    inputs, targets = rng.integers(0, 301, (3, lm.WINDOW)), rng.integers(0, 301, (3, lm.WINDOW))
-    counts = np.ones_like(inputs, bool)
-    grad = model.gradient(inputs, targets, counts)
+    rows, classes = rng.integers(0, 301, (3, lm.WINDOW, 2)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
+    counts = np.ones_like(classes, bool)
+    grad = model.gradient(rows, classes, counts)
     for name in lm.SHAPES:
         view, g = lm._views(model.flat)[name].ravel(), lm._views(grad)[name].ravel()
         i = int(np.abs(g).argmax())
         values = []
         for step in (0.01, -0.02):
             view[i] += step
-            values.append(-model.score(inputs, targets).mean())
+            values.append(-model.score(rows, classes).mean())
         view[i] += 0.01
         assert np.isclose((values[0] - values[1]) / 0.02, g[i], rtol=0.05, atol=1e-4), name
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words and their complements are equal to any polynomial hash modulo 2^64."""
+    swap = str.maketrans("ab", "ba")
+    rows = [(i, f"same before {w} and after") for i, w in enumerate(x for n in (1024, 2048, 4096) for x in (thue_morse(n), thue_morse(n).translate(swap)))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == linked_components(rows, 3, 85)
+    counted = {r.doc_id: (r.n_known, r.train_tokens) for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()}
+    tokens = {i: [*words(t), None] for i, t in rows}
+    counts = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    assert counted == {i: (sum(counts[w] > 0 for w in t), sum(counts.values())) for i, t in tokens.items()}
+
+
 # all of them: odd rows, empty tables, other columns
 
 OPERATORS = {
