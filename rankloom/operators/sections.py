@@ -65,10 +65,10 @@ def packed_passages(sections: DataFrame, key: str, text: str, target: int = 180,
     return packed.select(F.col("key").alias(key), "passage", F.col("said").alias("text"))
 
 
-def overlapping_chunks(rows: DataFrame, key: str, text: str, most: int = 900, cap: int = 6000) -> DataFrame:
+def overlapping_chunks(rows: DataFrame, key: str, text: str, most: int = 900, cap: int | None = 6000) -> DataFrame:
     """(key, chunk, text): sentences of the first ``cap`` characters packed up to ``most`` characters; each chunk begins with the sentence that ended the one before.
 
-    The cap is the operator's definition: abstracts beyond it are cut before an expensive call.
+    A cap is for abstracts before an expensive call; without one (None) whole texts are packed.
     """
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -72,9 +72,19 @@ def anchor_headings(proposals: DataFrame, blocks: DataFrame, doc: str, least: fl
     Its page's blocks are searched; if there are none, those of the pages beside it; if there are none either, all of the document.  Without a block
     of ``least`` similarity it is the first of its page, if the page has any.
     """
-    both = proposals.join(blocks.select(doc, "block", F.col("page").alias("at"), "said"), doc)
-    tier = F.when(F.col("page") == F.col("at"), 0).when(F.abs(F.col("page") - F.col("at")) == 1, 1).otherwise(2)
-    near = both.withColumn("tier", tier).withColumn("nearest", F.min("tier").over(Window.partitionBy(doc, "proposal"))).filter("tier = nearest")
+    said = blocks.select(doc, F.col("page").alias("at"), "block", "said")
+    pages = said.select(doc, "at").distinct()
+
+    def without(rows: DataFrame, page: str) -> DataFrame:
+        """Proposals that have no block on any of the pages named."""
+        hit = rows.join(pages, [rows[doc] == pages[doc], rows[page] == pages["at"]], "left_semi").select(doc, "proposal").distinct()
+        return rows.join(hit, [doc, "proposal"], "left_anti")
+
+    own = proposals.withColumn("near", F.col("page"))
+    beside = without(own, "near").withColumn("near", F.explode(F.array(F.col("page") - 1, F.col("page") + 1)))
+    nowhere = without(beside, "near").drop("near").dropDuplicates([doc, "proposal"])
+    by_page = lambda rows, tier: rows.join(said.withColumnRenamed("at", "near"), [doc, "near"]).withColumn("tier", F.lit(tier))
+    near = by_page(own, 0).unionByName(by_page(beside, 1)).drop("near").unionByName(nowhere.join(said.drop("at"), doc).withColumn("tier", F.lit(2)))
     scored = near.withColumn("score", similarity(T.normalize_title(F.col("title")), T.normalize_title(F.col("said"))))
     best = scored.groupBy(doc, "proposal").agg(F.max("score").alias("score"), F.max_by("block", F.struct("score", (-F.col("block")).alias("b"))).alias("best"), F.min(F.when(F.col("tier") == 0, F.col("block"))).alias("first"))
     found = F.col("score") >= least
@@ -86,6 +96,19 @@ def strong_match(similar: Column, overlap: Column, words: Column) -> Column:
     return (similar >= 0.92) | (overlap & (similar >= 0.58)) | (overlap & (similar >= 0.42) & (words >= 4))
 
 
+def strong_pairs(truth: DataFrame, produced: DataFrame, group: str) -> DataFrame:
+    """(group, truth, produced, score) of judged (title a, page) and produced sections (title b, at) of a group that match strongly.
+
+    Titles are compared once for each distinct pair of them in a group, not once for each pair of sections.
+    """
+    titles = truth.select(group, "a").distinct().join(produced.select(group, "b").distinct(), group).select("a", "b").distinct()
+    similar = titles.withColumn("similar", similarity(F.col("a"), F.col("b"))).filter("similar >= 0.42")
+    overlap = F.abs(F.col("page") - F.col("at")) <= 5
+    pairs = truth.join(similar, "a").join(produced, [group, "b"])
+    strong = pairs.filter(strong_match(F.col("similar"), overlap, F.size(F.split("a", " "))))
+    return strong.select(group, "truth", "produced", F.round(0.8 * F.col("similar") + 0.2 * overlap.cast("int"), 6).alias("score"))
+
+
 def one_to_one(pairs: DataFrame, group: str) -> DataFrame:
     """Pairs (truth, produced, score) of which every truth and every produced section is in one at most, the best first."""
     schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in (group, "truth", "produced", "score"))

@@ -66,12 +66,12 @@ def daily_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with p as (select l_orderkey as page, l_quantity * 10 as x0, l_quantity * 10 + l_extendedprice / 1000 as x1 from lineitem where l_orderkey <= 3000)
+    with p as (select l_orderkey as page, l_quantity * 10 as x0, l_quantity * 10 + l_extendedprice / 1000 as x1 from lineitem)
     select page, count(*) as n, max(gap) >= 0.04 * 600 as multi_column from (select page, coalesce(x0 - max(x1) over (partition by page order by x0, x1 rows between unbounded preceding and 1 preceding), 0) as gap from p) group by page
 """)
 def multi_column_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose blocks leave a gap of 4 % of the width between what ends before and what begins."""
-    blocks = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 3000").select(F.col("l_orderkey").alias("page"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + F.col("l_extendedprice") / 1000).alias("x1"))
+    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + F.col("l_extendedprice") / 1000).alias("x1"))
     reach = F.max("x1").over(Window.partitionBy("page").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
     return blocks.withColumn("gap", F.coalesce(F.col("x0") - reach, F.lit(0.0))).groupBy("page").agg(F.count("*").alias("n"), (F.max("gap") >= 0.04 * 600).alias("multi_column"))
 

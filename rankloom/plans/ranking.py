@@ -67,11 +67,11 @@ def rank_shift_between_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with r as (select row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey) as a, row_number() over (order by l_quantity desc, l_orderkey, l_linenumber, l_partkey, l_suppkey) as b from lineitem where l_orderkey <= 400)
+    with r as (select row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey) as a, row_number() over (order by l_quantity desc, l_orderkey, l_linenumber, l_partkey, l_suppkey) as b from lineitem)
     select round(1 - 6 * sum((a - b)::double * (a - b)) / (count(*)::double * (count(*)::double * count(*) - 1)), 6) as rho, count(*) as n from r
 """)
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 400").withColumn("tie", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("tie", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return stats.spearman(lines, "l_extendedprice", "l_quantity", "tie").select(F.round("rho", 6).alias("rho"), "n")
 
 

@@ -136,13 +136,13 @@ def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with b as (select l_orderkey as page, l_linenumber, l_partkey, l_quantity * 10 as x0, l_extendedprice / 100 as y0 from lineitem where l_orderkey <= 500),
+    with b as (select l_orderkey as page, l_linenumber, l_partkey, l_quantity * 10 as x0, l_extendedprice / 100 as y0 from lineitem),
     c as (select *, x0 >= 250 as right_side, count_if(x0 < 200) over (partition by page) >= 2 and count_if(x0 >= 250) over (partition by page) >= 2 as two from b)
     select page, l_linenumber, l_partkey, row_number() over (partition by page order by case when two then right_side::int else 0 end, floor(y0 / 12), x0, l_linenumber, l_partkey) as position from c
 """)
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a page: columns where both sides have at least two, then rows of 12 points, then left to right."""
-    b = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 500").select(F.col("l_orderkey").alias("page"), "l_linenumber", "l_partkey", (F.col("l_quantity") * 10).alias("x0"), (F.col("l_extendedprice") / 100).alias("y0"))
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), "l_linenumber", "l_partkey", (F.col("l_quantity") * 10).alias("x0"), (F.col("l_extendedprice") / 100).alias("y0"))
     w = Window.partitionBy("page")
     two = (F.count_if(F.col("x0") < 200).over(w) >= 2) & (F.count_if(F.col("x0") >= 250).over(w) >= 2)
     column = F.when(two, (F.col("x0") >= 250).cast("int")).otherwise(0)
@@ -194,11 +194,11 @@ def evidence_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    select o_orderkey, (i * 10 + 1)::int as first, least(i * 10 + 10, o_custkey % 37 + 1)::int as last from (select o_orderkey, o_custkey, unnest(range(0, cast(ceil((o_custkey % 37 + 1) / 10) as bigint))) as i from orders where o_orderkey <= 2000)
+    select o_orderkey, (i * 10 + 1)::int as first, least(i * 10 + 10, o_custkey % 37 + 1)::int as last from (select o_orderkey, o_custkey, unnest(range(0, cast(ceil((o_custkey % 37 + 1) / 10) as bigint))) as i from orders)
 """)
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = (F.col("o_custkey") % 37 + 1).cast("int")
-    starts = table(spark, sf_dir, "orders").filter("o_orderkey <= 2000").select("o_orderkey", pages.alias("pages"), F.explode(F.sequence(F.lit(1), pages, F.lit(10))).alias("first"))
+    starts = table(spark, sf_dir, "orders").select("o_orderkey", pages.alias("pages"), F.explode(F.sequence(F.lit(1), pages, F.lit(10))).alias("first"))
     return starts.select("o_orderkey", "first", F.least(F.col("first") + 9, F.col("pages")).alias("last"))
 
 

@@ -55,4 +55,4 @@ def passages_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def abstract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.overlapping_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk", F.md5("text").alias("digest"))
+    return S.overlapping_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", cap=None).select("doc_id", "chunk", F.md5("text").alias("digest"))

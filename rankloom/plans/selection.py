@@ -53,11 +53,11 @@ def uncovered_doc_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with p as (select l_orderkey, l_linenumber, l_discount * 10 as score, row_number() over (partition by l_orderkey order by l_discount * 10 desc, l_linenumber) as pass from lineitem where l_orderkey <= 100)
+    with p as (select l_orderkey, l_linenumber, l_discount * 10 as score, row_number() over (partition by l_orderkey order by l_discount * 10 desc, l_linenumber) as pass from lineitem)
     select l_orderkey, l_linenumber, pass from p where pass <= 3 and (pass = 1 or score >= 0.5) order by pass, score desc, l_orderkey * 10 + l_linenumber limit 60
 """)
 def judge_candidate_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 100").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
     return S.passes(rows, "l_orderkey", "score", "tie", 3, 0.5, 60).select("l_orderkey", "l_linenumber", "pass")
 
 
@@ -100,11 +100,11 @@ def top_bottom_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with k as (select c_custkey, (c_custkey % 12 + 1) || '.' || (c_custkey % 25) as number from customer where c_custkey <= 300)
+    with k as (select c_custkey, (c_custkey % 12 + 1) || '.' || (c_custkey % 25) as number from customer)
     select c_custkey, number, row_number() over (order by list_transform(string_split(number, '.'), lambda p: p::int), c_custkey) as position from k
 """)
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "customer").filter("c_custkey <= 300").select("c_custkey", F.concat_ws(".", (F.col("c_custkey") % 12 + 1).cast("string"), (F.col("c_custkey") % 25).cast("string")).alias("number"))
+    k = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(".", (F.col("c_custkey") % 12 + 1).cast("string"), (F.col("c_custkey") % 25).cast("string")).alias("number"))
     return global_rank(k.withColumn("key", natural_key(F.col("number"))), ["key", "c_custkey"]).drop("key")
 
 
@@ -117,9 +117,9 @@ def retention_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.retention(events, "user_id", "ts", "event_id", 5, F.col("value") < 2, F.col("event_id") % 50 == 0).select("event_id", "user_id")
 
 
-@query("select l_orderkey, l_linenumber, round(abs(l_discount - 0.05), 6) as distance from lineitem where l_orderkey <= 200 order by distance, l_orderkey, l_linenumber limit 10")
+@query("select l_orderkey, l_linenumber, round(abs(l_discount - 0.05), 6) as distance from lineitem order by distance, l_orderkey, l_linenumber limit 10")
 def near_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 200").select("l_orderkey", "l_linenumber", F.round(F.abs(F.col("l_discount") - 0.05), 6).alias("distance"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.abs(F.col("l_discount") - 0.05), 6).alias("distance"))
     return rows.orderBy("distance", "l_orderkey", "l_linenumber").limit(10)
 
 

@@ -41,29 +41,21 @@ def wrapper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _headings(spark, sf_dir).select("p_partkey", F.array_join(found, ",").alias("reasons"))
 
 
-def _proposals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    turns = table(spark, sf_dir, "conversations")
-    page = F.floor(F.col("turn") / 2).cast("int")
-    blocks = turns.select("conv_id", F.col("turn").alias("block"), page.alias("page"), F.substring("text", 1, 60).alias("said"))
-    proposals = turns.filter("turn % 3 = 1").select("conv_id", F.col("turn").alias("proposal"), (page + F.col("conv_id") % 3).cast("int").alias("page"), F.substring("text", 1, 55).alias("title"))
-    return proposals, blocks
-
-
 @query(None)
 def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.anchor_headings(*_proposals(spark, sf_dir), "conv_id")
+    parts = table(spark, sf_dir, "part")
+    blocks = parts.select("p_brand", F.col("p_partkey").alias("block"), F.col("p_size").alias("page"), F.concat_ws(" ", "p_type", "p_name").alias("said"))
+    proposals = parts.select("p_brand", F.col("p_partkey").alias("proposal"), (F.col("p_size") + F.col("p_partkey") % 3).alias("page"), F.col("p_type").alias("title"))
+    return S.anchor_headings(proposals, blocks, "p_brand")
 
 
 @query(None)
 def truth_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with odd keys stand for the judged sections of their brand, the others for the produced ones."""
     parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", T.normalize_title(F.col("p_type")).alias("title"), "p_size")
-    truth = parts.filter("p_partkey % 5 = 0").select("p_brand", F.col("p_partkey").alias("truth"), F.col("title").alias("a"), F.col("p_size").alias("page"))
-    produced = parts.filter("p_partkey % 5 = 1").select("p_brand", F.col("p_partkey").alias("produced"), F.col("title").alias("b"), F.col("p_size").alias("at"))
-    pairs = truth.join(produced, "p_brand").withColumn("similar", S.similarity(F.col("a"), F.col("b")))
-    overlap = F.abs(F.col("page") - F.col("at")) <= 5
-    strong = pairs.filter(S.strong_match(F.col("similar"), overlap, F.size(F.split("a", " "))))
-    scored = strong.withColumn("score", F.round(0.8 * F.col("similar") + 0.2 * overlap.cast("int"), 6))
-    return S.one_to_one(scored, "p_brand")
+    truth = parts.filter("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("truth"), F.col("title").alias("a"), F.col("p_size").alias("page"))
+    produced = parts.filter("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("produced"), F.col("title").alias("b"), F.col("p_size").alias("at"))
+    return S.one_to_one(S.strong_pairs(truth, produced, "p_brand"), "p_brand")
 
 
 _QUERIES = ["climate NOT (policy OR \"trade law\")", "water/energy systems", "a/b/c and \"x/y\"", "NOT \"one two three four\" z", "see http://a.b/c", "plain"]

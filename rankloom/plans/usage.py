@@ -78,9 +78,9 @@ def ops_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return money.keyset_page(operations, cursor, "ts", "event_id", 50).select("event_id", "op", F.col("cost").cast("double").alias("cost"))
 
 
-@query(f"with {OPS} select event_id, user_id, op, cast(cost as double) as credits from ops where op not in ('click', 'view') and user_id <= 20 order by ts desc, event_id desc limit 100")
+@query(f"with {OPS} select event_id, user_id, op, cast(cost as double) as credits from ops where op not in ('click', 'view') order by ts desc, event_id desc limit 100")
 def ledger_non_usage_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = _operations(spark, sf_dir).filter(~F.col("op").isin("click", "view") & (F.col("user_id") <= 20))
+    ledger = _operations(spark, sf_dir).filter(~F.col("op").isin("click", "view"))
     return ledger.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "user_id", "op", F.col("cost").cast("double").alias("credits"))
 
 
