@@ -102,6 +102,18 @@ def test_pii_trees_add_what_looks_alike(spark):
     assert found[1002] == [] and found[1003] == []
 
 
+def test_pii_of_a_text_with_many_spans(spark):
+    rng = random.Random(8)
+    kinds = ["ann%d@example.org", "10.0.3.%d", "call +1 (613) 555-%04d", "pay 4111 1111 1111 1111 é %d", "(613) 555-%04d", "bob%d[at]example[dot]com"]
+    text = " ".join(rng.choice(kinds) % rng.randrange(250) for _ in range(12_000))
+    found = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.Scorer("9D", {k: 0.5 for k in pii.KINDS})).first().pii
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in found if s.base] == base_pii(text)
+    base = {k: [(s.start, s.end) for s in found if s.base and s.kind == k] for k in pii.KINDS}
+    assert sum(not s.base for s in found) > 2000
+    for s in found[::37]:
+        assert s.base or not any(a < s.end and s.start < b for a, b in base[s.kind])
+
+
 def test_redaction(spark):
     found = pii.find_pii(spark.createDataFrame([(1, "é a@b.co, 10.0.0.1."), (2, None)], "doc_id long, text string"), pii.Scorer("0D", {k: 1.01 for k in pii.KINDS}))
     assert [r.text for r in pii.redact(found).orderBy("doc_id").collect()] == ["é [EMAIL], [IP].", ""]
