@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
+    """spark.checkpoint.dir, or a folder of this machine where it is unset and all executors are on it (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
