@@ -43,6 +43,7 @@ class Coder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: t for t, i in (self.ids | self.special).items()}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_begins = {t[0] for t in self.special if t}
         self.pattern = regex.compile(WORDS.replace(r"\s", SPACE[1:-1]))
         self.characters = byte_characters()
         bare = [t.removesuffix(self.suffix) for t in self.ids]
@@ -52,7 +53,7 @@ class Coder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        if self.special_pattern and "<" in text:
+        if any(c in text for c in self.special_begins):
             parts = self.special_pattern.split(text)
         else:
             parts = [text]

@@ -150,9 +150,10 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: s
     best, done = None, []
     for radius in range(max(length for _, length in segments) + 1):
         probes = open_queries.mapInPandas(_probing(bits, segments, radius), "query long, code binary, bound int, segment int, coarse long, own long, weight int")
-        probes = probes.join(parts, ["segment", "coarse"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+        probes = ws.save(probes.join(parts, ["segment", "coarse"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts"))
         key = ["segment", "coarse", "part"]
-        found = probes.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(_verified(bits, segments, k), "query long, distance int, id long")
+        probed = index.join(probes.select(*key).distinct(), key, "left_semi")  # the rest of the index stays where it is
+        found = probes.groupBy(*key).cogroup(probed.groupBy(*key)).applyInPandas(_verified(bits, segments, k), "query long, distance int, id long")
         merged = (found if best is None else found.union(best)).distinct()
         order = Window.partitionBy("query").orderBy("distance", "id")
         top = ws.save(merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))

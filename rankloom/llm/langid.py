@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import texts
+from ..operators.workspace import Workspace
 
 UNDETERMINED = "und"
 #: Buckets of n-grams; the model has so many numbers for each language.
@@ -19,7 +20,7 @@ BUCKETS = 1 << 16
 CHUNK_BYTES = 500_000
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: More label values than this are taken for an error in the labels.
+#: Languages of a model at most, those with the most texts; each takes a quarter of a megabyte.
 MAX_LANGUAGES = 512
 
 _U = np.uint64
@@ -50,13 +51,15 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(at), letters
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages, and their log-probabilities of each bucket with the log prior in the last row.
 
     Counts cover every whole text with a language.  Tasks add up their own rows
     first, so that the shuffle carries at most one row for each task, language
     and bucket; the result has BUCKETS numbers a language whatever the input.
+    Of more than ``languages`` label values those with the most texts are learned, of equal ones the first by name.
     """
+    ws = Workspace(labelled.sparkSession, "langid")
     given = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,10 +77,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             full = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full), pa.array(c[full])], ["lang", "bucket", "n"])
 
-    counted = given.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counted.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counted = ws.save(given.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    known = counted.filter(F.col("bucket") == BUCKETS).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    found = counted.join(F.broadcast(known), "lang", "left_semi").groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).collect()
+    ws.close()
     found.sort(key=lambda r: r["lang"])
     counts = np.zeros((BUCKETS + 1, len(found)))
     for i, r in enumerate(found):

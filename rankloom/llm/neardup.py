@@ -157,9 +157,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     hot key read saved tables, which Spark splits.
 
     Null and empty texts have an empty set and no links.  A null id is kept as a
-    row of its own with its set size, a null component_id and kept true.  Rows
-    that repeat an id are returned once each, all in that id's component; an id
-    repeated with different texts links them.  Other columns of ``docs`` are ignored.
+    row of its own with its set size, a null component_id and kept true.  Ids should
+    be unique: rows that repeat one are returned once each, all in that id's component, but of
+    an id's different texts only one is sure to keep its links.  Other columns of ``docs`` are ignored.
     """
     ws = Workspace(docs.sparkSession, "neardup")
     bands = bands_for(percent / 100)

@@ -285,6 +285,33 @@ def test_language_of_odd_texts(spark, none):
     assert langid.predict(spark.createDataFrame([(1, "text")], "doc_id long, text string"), langid.train(none)).first().lang_pred == "und"
 
 
+def test_language_equals_brute_force(spark):
+    """Naive Bayes over the n-grams themselves; none of these share a bucket."""
+    rng = random.Random(11)
+    pool = {"aa": ["kala", "mesi", "tuo"], "bb": ["kola", "drif", "tuo"], "cc": ["zhen", "mesi"]}
+    rows = [(i, " ".join(rng.choices(pool[lang], k=rng.randrange(1, 6))).title(), lang) for i, lang in enumerate(rng.choices(list(pool), [5, 3, 2], k=60))] + [(100, "Kola, tuo 3", None), (101, "mesi", "aa"), (102, "qqq", None)]
+
+    def grams(text):
+        padded = f" {' '.join(re.sub('[^a-z]+', ' ', text.lower()).split())} "
+        return Counter(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1))
+
+    every = {g for _, t, _ in rows for g in grams(t)}
+    buckets = langid._grams(pa.array([t for _, t, _ in rows]))[0]
+    assert len(set(buckets.tolist())) == len(every)
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 5]
+    counts = {lang: sum((grams(t) for t, x in learned if x == lang), Counter()) for lang in pool}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        log = {lang: math.log(sum(x == lang for _, x in learned) / len(learned)) + sum(n * math.log((c[g] + 0.5) / (c.total() + 0.5 * langid.BUCKETS)) for g, n in grams(t).items()) for lang, c in counts.items()}
+        best = max(sorted(log), key=log.get)
+        assert got[i][0] == best and math.isclose(got[i][1], 1 / sum(math.exp(x - log[best]) for x in log.values()), rel_tol=1e-3), i
+
+
+def test_language_keeps_the_most_frequent_labels(spark):
+    rows = [(i, "the cat", "en") for i in range(5)] + [(10, "der hund", "de"), (11, "le chien", "fr")]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)[0] == ["de", "en"]
+
+
 # 7 nearest codes
 
 
@@ -350,6 +377,21 @@ def test_bpe_equals_the_library(spark, documents):
         assert got[i] == (expected, library.decode(expected, skip_special_tokens=False)), t
 
 
+def test_bpe_finds_special_tokens_of_any_form(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(TOKENIZER).read())
+    spec["added_tokens"].append({"id": 1 + max(t["id"] for t in spec["added_tokens"]), "content": "[PAD]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(spec))
+    library = Tokenizer.from_file(str(path))
+    coder = Coder(path.read_text())
+    for text in ("a [PAD] b[PAD]", "[pad] <|endoftext|>[PAD"):
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_cuts_where_no_token_joins():
     coder = Coder(open(TOKENIZER).read())
     a, b = next((x, y) for x in coder.characters for y in coder.characters if (x, y) not in coder.inside)
