@@ -67,3 +67,33 @@ def merge_online(records: DataFrame, order: str, keys: str) -> DataFrame:
     alone = named.filter("component is null").select("id", F.col("id").alias("cluster"))
     replayed = named.filter("component is not null").groupBy("component").applyInPandas(replay, "id long, cluster long")
     return alone.union(replayed).select(F.col("id").alias(order), "cluster")
+
+
+def provider_ids(provider: str, own: str) -> Column:
+    """Aggregate: the ids that each provider has given, each once."""
+    pairs = F.collect_set(F.struct(F.col(provider).alias("provider"), F.col(own).cast("string").alias("id")))
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p.provider)))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_sort(F.transform(F.filter(pairs, lambda p: p.provider == n), lambda p: p.id))))
+
+
+def build_candidates(records: DataFrame, order: str) -> DataFrame:
+    """Candidates from records: keys, one-by-one merging, merged fields, provider ids, sources and final ids.
+
+    records: ``order``, doi, arxiv, pmid, title, year, authors, citations, is_core, provider, query_hash, query, rank.
+    sources holds (provider, query_hash, query, rank) of all records in order, each once.  Records without any key are candidates of their own.
+    collisions tells how many candidates share the final id.
+    """
+    keyed = records.withColumn("keys", candidate_keys(F.col("doi"), F.col("arxiv"), F.col("pmid"), F.col("title"), F.col("year"), F.col("authors")))
+    placed = keyed.join(merge_online(keyed.select(order, "keys"), order, "keys"), order)
+    source = F.struct("provider", "query_hash", "query", "rank")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), source.alias("source")))), lambda s: s.source)
+    merged = placed.groupBy("cluster").agg(*merged_fields(order), F.min("doi").alias("doi"), F.min("arxiv").alias("arxiv"), F.min("pmid").alias("pmid"), provider_ids("provider", order).alias("provider_ids"), F.array_distinct(in_order).alias("sources"))
+    named = merged.withColumn("candidate", final_id(normalize_doi(F.col("doi")), normalize_arxiv(F.col("arxiv")), F.col("pmid"), F.substring(F.sha2(F.concat_ws("|", normalize_title(F.col("title")), F.col("year").cast("string")), 256), 1, 16)))
+    same = named.groupBy("candidate").agg(F.count("*").alias("collisions"))
+    return named.join(same, "candidate").drop("cluster")
+
+
+def merge_metrics(records: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(records, candidates, merged, colliding, core): what build_candidates did, in one row."""
+    made = candidates.agg(F.count("*").alias("candidates"), F.count_if(F.col("n") > 1).alias("merged"), F.count_if(F.col("collisions") > 1).alias("colliding"), F.count_if(F.coalesce("is_core", F.lit(False))).alias("core"))
+    return records.agg(F.count("*").alias("records")).join(F.broadcast(made))

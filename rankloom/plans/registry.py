@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, dashboard, decisions, entities, evidence, joining, ranking, records, retrieval, sections, selection, state, structure, texts, usage
+from . import assembly, assessment, base, dashboard, decisions, entities, evidence, joining, ranking, records, retrieval, sections, selection, state, structure, texts, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "hybrid_retrieval"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (usage, retrieval, records, ranking, selection, texts, decisions, joining, sections, structure, evidence, dashboard, entities, state):
+for _module in (usage, retrieval, records, ranking, selection, texts, decisions, joining, sections, structure, evidence, dashboard, entities, state, assessment, assembly):
     QUERIES |= base.queries_of(_module)
     ORACLE_SQL |= base.oracles_of(_module)

@@ -82,3 +82,30 @@ def outline_rows(spark: SparkSession, outline: DataFrame, doc: str, children: st
         out = rows.drop("_json") if out is None else out.unionByName(rows.drop("_json"))
         level = rows.select(doc, "_json", "path").filter("_json is not null")
     return out
+
+
+def read_themes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, title, description) of Markdown themes: the first line that is not blank, and the paragraphs after it, or the title where there are none."""
+    said = F.col("value")
+    title = F.regexp_extract(said, "(?m)^\\s*(\\S.*?)\\s*$", 1)
+    paragraphs = F.filter(F.transform(F.split(F.regexp_replace(said, "\r\n?", "\n"), "\n\n"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", "")), lambda p: p != "")
+    body = F.array_join(paragraphs, "\n\n")
+    rest = F.when(F.startswith(body, title), F.regexp_replace(F.substr(body, F.length(title) + 1), "^\\s+|\\s+$", "")).otherwise(body)
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), title.alias("title"), rest.alias("description"))
+    return rows.withColumn("description", F.when(F.col("description") == "", F.col("title")).otherwise(F.col("description")))
+
+
+def xml_summary(xml: Column, most: int = 15) -> Column:
+    """(status, title, heads, preview, has_abstract, has_bibliography) of a structured text in XML, by element names."""
+    heads = F.filter(F.transform(F.xpath(xml, F.lit("//head//text()")), lambda t: F.trim(t)), lambda t: t != "")
+    has = lambda name: F.xpath_boolean(xml, F.lit(f"boolean(//{name})"))
+    full = F.struct(F.lit("ok").alias("status"), F.nullif(F.trim(F.xpath_string(xml, F.lit("//title"))), F.lit("")).alias("title"), F.size(heads).alias("heads"), F.slice(heads, 1, most).alias("preview"), has("abstract").alias("has_abstract"), has("listBibl").alias("has_bibliography"))
+    empty = F.struct(F.lit("empty").alias("status"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("heads"), F.array().cast("array<string>").alias("preview"), F.lit(False).alias("has_abstract"), F.lit(False).alias("has_bibliography"))
+    return F.when(F.coalesce(xml, F.lit("")) == "", empty).otherwise(full)
+
+
+def read_suite(spark: SparkSession, root: str, manifest: str) -> dict[str, DataFrame]:
+    """chapters, documents and judgments that a suite's manifest lists by relative path, one row a file."""
+    listed = spark.read.option("multiLine", "true").json(f"{root}/{manifest}").first().asDict()
+    paths = {name: [f"{root}/{p}" for p in listed.get(column) or []] for name, column in (("chapters", "chapter_specs"), ("documents", "documents"), ("judgments", "judgments"))}
+    return {name: spark.read.option("multiLine", "true").json(found) for name, found in paths.items() if found}
