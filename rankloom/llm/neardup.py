@@ -66,6 +66,16 @@ def superminhash(hashes: np.ndarray, row: np.ndarray, rows: int, m: int) -> np.n
     return signature.reshape(rows, m)
 
 
+def _names(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit names of every set: the sums of two mixes of its elements."""
+    sums = np.zeros((2, len(offsets) - 1), np.uint64)
+    if len(sets):
+        full = np.diff(offsets) > 0
+        for i in range(2):
+            sums[i, full] = np.add.reduceat(texts.mix(sets + np.uint64(i + 1)), offsets[:-1][full])
+    return sums.view(np.int64)
+
+
 def _signed(k: int, bands: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in texts.chunks(batches):
@@ -77,22 +87,23 @@ def _signed(k: int, bands: int):
             band = np.broadcast_to(np.arange(bands, dtype=np.uint64), bits.shape[:2])
             for i in range(BAND_ROWS):
                 band = texts.mix(band * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, i])
-            # a set's name: the sums of two mixes of its elements
-            sums = np.zeros((2, len(sizes)), np.uint64)
-            if len(sets):
-                for i in range(2):
-                    sums[i, full] = np.add.reduceat(texts.mix(sets + np.uint64(i + 1)), offsets[:-1][full])
+            names = _names(sets, offsets)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)), pa.array(band[full].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), keys], ["id", "n", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(names[0]), pa.array(names[1]), keys], ["id", "n", "h1", "h2", "bands"])
 
     return run
 
 
 def _sets_of(k: int):
+    """Shingles of the texts that have the set (h1, h2, n) asked for; other texts of the same id are left out."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in texts.chunks(batches):
             sets, offsets = texts.shingle_sets(part.column("text"), k)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))], ["id", "shingles"])
+            asked = [part.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "n")]
+            right = np.logical_and.reduce([a == b for a, b in zip(asked, [*_names(sets, offsets), np.diff(offsets)], strict=True)])
+            out = pa.RecordBatch.from_arrays([part.column("set"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))], ["set", "shingles"])
+            yield out.filter(pa.array(right))
 
     return run
 
@@ -128,7 +139,7 @@ def _block_links(percent: int):
             if (least == label).all():
                 break
             label = least
-        ids = pdf.id.to_numpy()
+        ids = pdf.set.to_numpy()
         joined = label != np.arange(n)
         return pd.DataFrame({"a": ids[joined], "b": ids[label[joined]]})
 
@@ -143,7 +154,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     words).  component_id is the smallest id that links reach, and kept marks it.
 
     1.  Every text gets a SuperMinHash signature in bands of four.  Rows with
-        equal sets become one set, named by its smallest id.
+        equal sets become one set, which gets a number; its smallest id stands for it.
     2.  In every bucket (sets that share a band) each set is compared, on full
         shingle sets, with one centre: the set that shares most buckets.
     3.  Sets that met the same centre and are still apart are compared in
@@ -157,22 +168,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     hot key read saved tables, which Spark splits.
 
     Null and empty texts have an empty set and no links.  A null id is kept as a
-    row of its own with its set size, a null component_id and kept true.  Ids should
-    be unique: rows that repeat one are returned once each, all in that id's component, but of
-    an id's different texts only one is sure to keep its links.  Other columns of ``docs`` are ignored.
+    row of its own with its set size, a null component_id and kept true.  Rows that repeat an id
+    are returned once each, all in that id's component, which the links of all its texts join.
+    Other columns of ``docs`` are ignored.
     """
     ws = Workspace(docs.sparkSession, "neardup")
     bands = bands_for(percent / 100)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = ws.save(given.mapInArrow(_signed(k, bands), "id long, n long, h1 long, h2 long, bands array<long>"))
 
-    # 1. one row a set; ids joined to it
+    # 1. one row a set, numbered as it is written; ids joined to it
     usable = signed.filter("id is not null and n > 0")
-    named = usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
-    reps = ws.save(named)
-    copies = usable.join(reps.filter("rows > 1"), ["h1", "h2", "n"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    rep_bands = usable.join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).filter("id = rep").select("rep", "bands")
-    keys = ws.save(rep_bands.select("rep", F.explode("bands").alias("key")).distinct())
+    named = usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    numbered = ws.save(named.withColumn("set", F.monotonically_increasing_id()))
+    copies = usable.withColumnRenamed("id", "a").join(numbered.filter("rows > 1"), ["h1", "h2", "n"]).filter("a <> id").select("a", F.col("id").alias("b"))
+    set_bands = usable.join(numbered, ["h1", "h2", "n", "id"]).select("set", "bands")
+    keys = ws.save(set_bands.select(F.col("set").alias("rep"), F.explode("bands").alias("key")).distinct())
 
     # 2. each set against the centre of each of its buckets
     buckets = ws.save(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
@@ -183,10 +194,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     stars = ws.save(weighed.join(centres, "key").filter("rep <> centre").select("rep", "centre").distinct())
     ws.drop(keys, buckets, members, weighed, centres)
 
-    needed = ws.save(stars.select("rep").union(stars.select("centre")).distinct().withColumnRenamed("rep", "id"))
-    # an id repeated with several texts: the text of the set that it names
-    sets = ws.save(given.join(needed.hint("shuffle_hash"), "id").mapInArrow(_sets_of(k), "id long, shingles array<long>").groupBy("id").agg(F.max("shingles").alias("shingles")))
-    side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"{name}_set"))
+    met_sets = stars.select(F.col("rep").alias("set")).union(stars.select("centre")).distinct()
+    needed = ws.save(numbered.join(met_sets, "set").select("id", "h1", "h2", "n", "set"))
+    held = given.join(needed.hint("shuffle_hash"), "id").select("set", "h1", "h2", "n", "text").mapInArrow(_sets_of(k), "set long, shingles array<long>")
+    sets = ws.save(held.groupBy("set").agg(F.max("shingles").alias("shingles")))  # rows may repeat
+    side = lambda name: sets.select(F.col("set").alias(name), F.col("shingles").alias(f"{name}_set"))
     shared = stars.join(side("rep"), "rep").join(side("centre"), "centre").select("rep", "centre", _shared(F.col("rep_set"), F.col("centre_set")).alias("shared"), (F.size("rep_set") + F.size("centre_set")).alias("both"), F.size("rep_set").alias("held"))
     met = ws.save(shared.select("rep", "centre", "held", (100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).alias("linked"), (1 - F.col("shared") / (F.col("both") - F.col("shared"))).alias("distance")))
     star_links = met.filter("linked").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
@@ -201,11 +213,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     dealt = around.join(chunks, "centre").withColumn("own", F.expr("filter(chunks, c -> c.inner = inner and c.bin = bin)[0].parts"))
     dealt = dealt.withColumn("chunk", F.struct(F.col("inner").alias("inner"), F.col("bin").alias("bin"), F.pmod(F.xxhash64("rep"), F.col("own")).cast("int").alias("part")))
     others = F.expr(f"flatten(transform(filter(chunks, c -> abs(c.bin - bin) <= {reach} and not (c.inner and inner)), c -> transform(sequence(0, c.parts - 1), p -> struct(c.inner as inner, c.bin as bin, p as part))))")
-    pairs = dealt.select("centre", "rep", "chunk", F.explode(others).alias("other")).select("centre", F.col("rep").alias("id"), F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    blocks = pairs.join(sets, "id")
+    pairs = dealt.select("centre", "rep", "chunk", F.explode(others).alias("other")).select("centre", F.col("rep").alias("set"), F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    blocks = pairs.join(sets, "set")
     block_links = blocks.groupBy("centre", "low", "high").applyInPandas(_block_links(percent), "a long, b long")
 
-    # 4. all links
-    found = components(copies.union(star_links).union(block_links).filter("a <> b"), ws)
+    # 4. all links, from set to set, then of the ids that stand for them
+    links = star_links.union(block_links)
+    for end in ("a", "b"):
+        links = links.join(numbered.select(F.col("set").alias(end), F.col("id").alias(f"{end}_id")), end)
+    found = components(copies.union(links.select("a_id", "b_id")).filter("a <> b"), ws)
     out = signed.join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -192,6 +192,32 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == linked_components(rows, 3, 85)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Every text of an id keeps its links, also where a copy of one has the smaller id."""
+    rng = random.Random(8)
+    bases = [[f"w{b}x{rng.randrange(10**6)}" for _ in range(80)] for b in range(12)]
+
+    def near(b):
+        text = list(bases[b])
+        text[rng.randrange(80)] = f"y{rng.randrange(10**6)}"
+        return " ".join(text)
+
+    rows = [(i, near(b)) for i, b in ((3, 0), (7, 0), (7, 1), (9, 1), (20, 2), (20, 2), (21, 3), (20, 3), (30, 4), (31, 5), (32, 6))]
+    rows += [(30, rows[-1][1]), (40, " ".join(bases[7])), (41, " ".join(bases[7])), (41, " ".join(bases[8])), (42, near(8)), (50, None), (50, near(9)), (51, near(9))]
+    # brute force over rows, whose numbers stand in for ids; rows of one id belong together
+    parts = linked_components(list(enumerate(t for _, t in rows)), 3, 85)
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        by_part = {}
+        for n, (i, _) in enumerate(rows):
+            by_part[parts[n][1]] = min(by_part.get(parts[n][1], i), label[i])
+        for n, (i, _) in enumerate(rows):
+            label[i] = min(label[i], by_part[parts[n][1]])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, parts[n][0], label[i]) for n, (i, _) in enumerate(rows))
+    assert label[7] == label[9] == 3 and label[42] == 40 and label[51] == 50 and label[32] == 30
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
