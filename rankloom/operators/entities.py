@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_author_lastname, normalize_arxiv, normalize_doi, normalize_title
-from .components import components
 from .workspace import Workspace
 
 
@@ -43,30 +41,26 @@ def merge_online(records: DataFrame, order: str, keys: str) -> DataFrame:
     """(order, cluster): the cluster, named by its first record, that each record joins when they come one by one.
 
     A record joins the cluster that its first known key belongs to, and then all its keys that are
-    new belong to that cluster; clusters that a later record bridges stay apart.  Only
-    records that share keys, directly or through others, bear on one another: each such
-    component is replayed on its own, in order.  Identity keys keep components small.
+    new belong to that cluster; clusters that a later record bridges stay apart.  So a key belongs to
+    the cluster of the first record that has it, and each record follows one earlier record: the first
+    one with its first key that any earlier record has.  Those steps are followed to their ends, twice
+    as far in every round; no group of records meets in one task.
+
+    ``order`` is unique.  Null keys are none; records without keys are clusters of their own.
     """
     ws = Workspace(records.sparkSession, "entities")
-    pairs = ws.save(records.select(F.col(order).alias("id"), F.explode(F.array_distinct(keys)).alias("key")))
-    first = ws.save(pairs.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("n")))
-    edges = pairs.join(first.filter("n > 1"), "key").select(F.col("id").alias("a"), "b").filter("a <> b")
-    groups = components(edges, ws)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        owner: dict[str, int] = {}
-        out = []
-        for i, own in pdf.sort_values("id")[["id", "keys"]].itertuples(index=False):
-            cluster = next((owner[k] for k in own if k in owner), i)
-            for k in own:
-                owner.setdefault(k, cluster)
-            out.append((i, cluster))
-        return pd.DataFrame(out, columns=["id", "cluster"])
-
-    named = records.select(F.col(order).alias("id"), F.col(keys).alias("keys")).join(groups, "id", "left")
-    alone = named.filter("component is null").select("id", F.col("id").alias("cluster"))
-    replayed = named.filter("component is not null").groupBy("component").applyInPandas(replay, "id long, cluster long")
-    return alone.union(replayed).select(F.col("id").alias(order), "cluster")
+    ids = records.select(F.col(order).alias("id"))
+    pairs = ws.save(records.select(F.col(order).alias("id"), F.posexplode(keys).alias("at", "key")).filter("key is not null"))
+    first = ws.save(pairs.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"))
+    steps = ws.save(pairs.join(first, "key").filter("first < id").groupBy("id").agg(F.min_by("first", "at").alias("cluster")))
+    ws.drop(pairs, first)
+    while True:
+        beyond = steps.select(F.col("id").alias("cluster"), F.col("cluster").alias("beyond"))
+        further = ws.save(steps.join(beyond, "cluster", "left").select("id", F.coalesce("beyond", "cluster").alias("cluster"), F.col("beyond").isNotNull().alias("moved")))
+        ws.drop(steps)
+        steps = further
+        if steps.filter("moved").isEmpty():
+            return ids.join(steps, "id", "left").select(F.col("id").alias(order), F.coalesce("cluster", "id").alias("cluster"))
 
 
 def provider_ids(provider: str, own: str) -> Column:

@@ -58,7 +58,12 @@ def candidate_merge_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("authors", F.array_join("authors", ";")).withColumn("providers", F.array_join("providers", ";"))
 
 
-@query(None)
+@query(f"""
+    with recursive {RECORDS}, k as (select rid, unnest(keys) as key, generate_subscripts(keys, 1) as place from (select rid, {_KEYS} as keys from r)), f as (select key, min(rid) as first from k group by 1),
+        step as (select rid, arg_min(first, place) as next from k join f using (key) where first < rid group by 1),
+        c as (select rid, rid as cluster from r where rid not in (select rid from step) union all select step.rid, c.cluster from step join c on step.next = c.rid)
+    select rid, cluster from c
+""")
 def candidate_dedupe_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.merge_online(_keyed(spark, sf_dir), "rid", "keys")
 

@@ -52,6 +52,22 @@ def test_bm25_counts_repeated_query_terms_and_common_terms(spark):
     assert np.isclose(got[2, 1], 2 * got[1, 1])
 
 
+def test_online_merge_equals_a_replay(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [f"k{k}" for k in rng.integers(0, 150, rng.integers(0, 4))] + (["hot"] if i % 3 == 0 else [])) for i in rng.permutation(600)]
+    rows += [(1000 + i, [f"c{i}", f"c{i + 1}"]) for i in range(40)]  # a chain of steps
+    owner, wanted = {}, []
+    for i, keys in sorted(rows):
+        cluster = next((owner[k] for k in keys if k in owner), i)
+        for k in keys:
+            owner.setdefault(k, cluster)
+        wanted.append((i, cluster))
+    rows += [(2000, None), (2001, [None]), (2002, [None, "hot"])]
+    wanted += [(2000, 2000), (2001, 2001), (2002, owner["hot"])]
+    got = entities.merge_online(spark.createDataFrame(rows, "rid long, keys array<string>"), "rid", "keys")
+    assert pairs(got, "rid", "cluster") == wanted
+
+
 def test_online_merge_does_not_unify_bridged_clusters(spark):
     rows = [(1, ["a"]), (2, ["b"]), (3, ["b", "a", "c"]), (4, ["c"]), (5, ["a", "c"]), (6, []), (7, ["d"])]
     got = entities.merge_online(spark.createDataFrame(rows, "rid long, keys array<string>"), "rid", "keys")
