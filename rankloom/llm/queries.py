@@ -13,6 +13,9 @@ from .hamming import nearest_codes
 from .linededup import dedup_lines
 from .lm import score_texts
 from .neardup import near_duplicates
+from .packing import pack_documents
+from .phrases import collocations
+from .trie import conversation_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +95,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_secrets": op2_secrets,
@@ -103,6 +121,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_lm_score": op10_lm_score,
+    "op11_phrases": op11_phrases,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_packing": op13_packing,
 }
 
 #: The others are tested against brute force, round trips or held-out accuracy.
@@ -161,4 +182,60 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' order by number) filter (role = 'assistant'), '')) as loss_sha256, any_value(formatted_chars) as formatted_chars
         from w join c using (conv_id) group by conv_id
     """,
+    "op11_phrases": """
+        with d as (
+            select coalesce(lang, 'und') as lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as pieces from documents
+        ), p as (
+            select lang, list_filter(string_split_regex(unnest(pieces), '[\x20\x09]+'), lambda w: w <> '') as w from d
+        ), g as (
+            select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+            from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, range(1, 6) as s(k))
+        ), f as (
+            select lang, k, phrase, count(*) as f from g group by all
+        ), n as (
+            select lang, sum(f)::bigint as n from f where k = 1 group by lang
+        ), c as (
+            select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 100
+        ), dropped as (
+            select distinct s.lang, s.phrase from c as s join c as b on s.lang = b.lang and s.k < b.k and s.a <= b.a and contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')
+        ), cuts as (
+            select lang, phrase, a, cut, array_to_string(w[1:cut], ' ') as lhs, array_to_string(w[cut + 1:], ' ') as rhs
+            from (select c.*, unnest(range(1, k)) as cut from c anti join dropped using (lang, phrase))
+        ), scored as (
+            select cuts.*, x.f as l, y.f as r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint as score
+            from cuts join f as x on x.lang = cuts.lang and x.phrase = lhs join f as y on y.lang = cuts.lang and y.phrase = rhs join n on n.lang = cuts.lang
+        ), best as (
+            select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+        )
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from best qualify rank <= 2000
+    """,
+    "op12_conversation_trie": """
+        with t as (
+            select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place
+            from conversations where conv_id is not null
+        ), c as (
+            select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 6 as h
+            from (select distinct conv_id from t)
+        ), u as (
+            select c.conv_id, t.place as place, t.role, t.text from c join t on t.conv_id = c.base and t.place <= c.h
+            union all select c.conv_id, t.place + 1000000, t.role, t.text from c join t on t.conv_id = c.conv_id and t.place > c.h
+        ), s as (
+            select c.conv_id, coalesce(list(sha256(length(role) || ':' || role || text) order by place) filter (place is not null), []) as path, coalesce(list(length(text) order by place) filter (place is not null), []) as chars
+            from c left join u using (conv_id) group by c.conv_id
+        ), m as (
+            select conv_id, path[1:d] as node, d as depth, coalesce(chars[d], 0) as chars, len(path) = d as ends from (select *, unnest(range(0, len(path) + 1)) as d from s)
+        ), n as (
+            select node, depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(chars) as saved,
+                sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+            from m group by node, depth
+        ), k as (
+            select p.node, count(x.node) as n_children from n as p left join n as x on x.depth = p.depth + 1 and x.node[1:p.depth] = p.node group by p.node
+        ), below as (
+            select node[1:d] as node, sum(saved)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves
+            from (select n.*, n_children, unnest(range(0, depth + 1)) as d from n join k using (node)) group by all
+        )
+        select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+        from n join k using (node) join below using (node) left join n as p on p.depth = n.depth - 1 and p.node = n.node[1:p.depth]
+    """,
 }

@@ -58,10 +58,10 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of, and the byte after, every word, in order."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of, and the byte after, every word, in order; ``space`` tells which byte values are in no word."""
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     first = np.zeros(n + 1, bool)  # where a text begins
     first[offsets[:-1]] = True
     first = first[:n]
@@ -77,7 +77,7 @@ _NEAR = 64
 _CELL_VALUES = mix(np.arange(1, _NEAR * 256 + 1, dtype=_U) * _GOLDEN)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -> np.ndarray:
     """Hash of every word: the sum of a value for each byte at its place in the word, mixed with the length."""
     if not len(starts):
         return np.zeros(0, _U)
@@ -88,7 +88,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     values = _CELL_VALUES.take(cell, mode="clip")
     far = np.flatnonzero(cell >= len(_CELL_VALUES))
     values[far] = mix((cell[far] + 1).astype(_U) * _GOLDEN)
-    values[_SPACE[body]] = 0
+    values[space[body]] = 0
     return mix(np.add.reduceat(values, first) + (ends - starts).astype(_U) * _GOLDEN)
 
 
