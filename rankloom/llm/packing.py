@@ -23,7 +23,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 WINDOW = 1024
 #: Terms are hashed into so many buckets, each with the number of documents of the whole table that hold it.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: Tokens of a shard: what one index holds. Characters of a partition: what one task packs, shard by shard.
 SHARD_TOKENS = 1 << 18
 PART_CHARS = 8_000_000
@@ -104,7 +104,7 @@ class Coder:
         self.encoding = tiktoken.Encoding("packing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.array([*self.encoding.encode(text, allowed_special="all"), 0], np.uint32)
+        return np.append(self.encoding.encode_to_numpy(text, allowed_special="all"), np.uint32(0))
 
 
 @dataclass
