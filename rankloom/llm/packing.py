@@ -41,14 +41,43 @@ def _sketch(hashes: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
     return texts.mix(out)
 
 
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms (hash buckets of words) of the texts one after another, their counts, the offsets of the texts, and the texts' sketches."""
-    data, offsets = texts.raw(column)
-    rows = len(offsets) - 1
-    word, row = texts.words(data, offsets)
-    pairs, counts = np.unique((row.astype(_U) << _U(32)) | (word % _U(BUCKETS)), return_counts=True)
-    bounds = np.searchsorted(pairs >> _U(32), np.arange(rows + 1, dtype=_U))
-    return (pairs & _U(0xFFFFFFFF)).astype(np.int64), counts, bounds, _sketch(*texts.shingles(word, row, rows, SKETCH_WORDS), rows)
+class _Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as many as the longest chunk so far has bytes."""
+
+    base = 0xD6E8FEB86659FD93
+    up = down = np.ones(0, _U)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.full(n, x, _U) for x in (cls.base, pow(cls.base, -1, 1 << 64)))
+            for powers in (cls.up, cls.down):
+                powers[:1] = 1
+                np.multiply.accumulate(powers, out=powers)
+        return cls.up[:n], cls.down[:n]
+
+
+_VALUES = texts.mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_VALUES[65:91] = _VALUES[97:123]  # A-Z as a-z
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word, from prefix sums: quick, and collisions of very long words do no harm here."""
+    if not len(data):
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    starts, ends = texts.word_spans(data, offsets)
+    up, down = _Powers.of(len(data))
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum(_VALUES[data] * up, out=sums[1:])
+    hashes = texts.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    return hashes, np.searchsorted(offsets, starts, "right") - 1
+
+
+def _terms(word: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms (hash buckets of words) of the texts one after another, their counts, and the offsets of the texts."""
+    pairs, counts = np.unique((row.astype(_U) << _U(32)) | (word & _U(BUCKETS - 1)), return_counts=True)
+    bounds = np.searchsorted(pairs, np.arange(rows + 1, dtype=_U) << _U(32))
+    return (pairs & _U(0xFFFFFFFF)).astype(np.int64), counts, bounds
 
 
 def _statistics(text: str):
@@ -58,10 +87,12 @@ def _statistics(text: str):
         held = np.zeros(BUCKETS, np.int64)
         documents = total = 0
         for part in texts.chunks(batches, text):
-            terms, counts, bounds, sketch = _terms(part.column(0))
-            held += np.bincount(terms, minlength=BUCKETS)
-            documents, total = documents + len(sketch), total + int(counts.sum())
-            sizes = np.diff(texts.raw(part.column(0))[1]) + 1
+            data, offsets = texts.raw(part.column(0))
+            rows = part.num_rows
+            word, row = _words(data, offsets)
+            held += np.bincount(_terms(word, row, rows)[0], minlength=BUCKETS)
+            documents, total = documents + rows, total + len(word)
+            sketch, sizes = _sketch(*texts.shingles(word, row, rows, SKETCH_WORDS), rows), np.diff(offsets) + 1
             keys, same = np.unique(sketch, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(np.bincount(same, sizes).astype(np.int64))], ["kind", "key", "n"])
         some = np.flatnonzero(held)
@@ -79,7 +110,7 @@ def _place(shared, parts: int):
         for part in texts.chunks(batches, "text"):
             data, offsets = texts.raw(part.column("text"))
             rows = part.num_rows
-            sketch = _sketch(*texts.shingles(*texts.words(data, offsets), rows, SKETCH_WORDS), rows)
+            sketch = _sketch(*texts.shingles(*_words(data, offsets), rows, SKETCH_WORDS), rows)
             ids = np.array([0 if i is None else i for i in part.column("doc_id").to_pylist()], np.int64).view(_U)
             share = np.zeros(rows, _U)
             if len(hot):
@@ -238,7 +269,7 @@ def _pack(shared, shard_tokens: int):
         counts: list[np.ndarray] = []
         size = 0
         for part in texts.chunks(batches, "text"):
-            term, count, bounds, _ = _terms(part.column("text"))
+            term, count, bounds = _terms(*_words(*texts.raw(part.column("text"))), part.num_rows)
             for i, (doc_id, text) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
                 ids.append(doc_id)
                 tokens.append(held["coder"](text or ""))
