@@ -75,10 +75,14 @@ def _composed(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def composed(x: Column) -> Column:
+    """Compatibility forms composed; plain ASCII never leaves the JVM's path."""
+    return F.when(x.rlike("[^\\x00-\\x7F]"), _composed(x)).otherwise(x)
+
+
 def normalize_query_text(x: Column) -> Column:
-    """Compatibility forms composed, soft hyphens and invisible characters gone, every hyphen a plain one; plain ASCII never leaves the JVM's path."""
-    composed = F.when(x.rlike("[^\\x00-\\x7F]"), _composed(x)).otherwise(x)
-    return F.translate(F.translate(composed, HYPHENS, "-" * len(HYPHENS)), "\u00ad" + INVISIBLE, "")
+    """Compatibility forms composed, soft hyphens and invisible characters gone, every hyphen a plain one."""
+    return F.translate(F.translate(composed(x), HYPHENS, "-" * len(HYPHENS)), "\u00ad" + INVISIBLE, "")
 
 
 def citation_label(mode: Column, author: Column, year: Column, free: Column) -> Column:
