@@ -65,7 +65,7 @@ _Q = f"""plans as (select item_id as plan_id, {", ".join(f"list_filter({s}, lamb
     n as (select *, len(anchors) > 0 and len(hits) = 0 as added, len(anchors) > 0 and (len(held) = 0 or plus < least or not quoted) as filled,
         greatest(least - plus, case when quoted then 0 else 1 end, case when len(held) = 0 and intent = 'match' then least(len(anchors), 2) else 0 end) as needed, list_concat(case when len(held) = 0 then anchors[1:2] else held[1:2] end, anchors) as offered from h),
     c as (select *, (list_filter(offered, lambda x, i: list_position(offered, x) = i))[1:needed] as chosen from n)
-    select conv_id, turn, array_to_string(hits, ',') as hits, added, case when added then '(' || array_to_string(list_transform(anchors[1:least], lambda t: '"' || t || '"'), ' OR ') || ') AND (' || boolean || ')' else boolean end as boolean_query,
+    select conv_id, turn, array_to_string(hits, ',') as hits, added, case when added then '(' || array_to_string(list_transform(anchors[1:least], lambda t: '"' || t || '"'), ' OR ') || ') AND (' || trim(boolean) || ')' else boolean end as boolean_query,
         filled and len(chosen) > 0 as filled, case when filled and len(chosen) > 0 then array_to_string(list_transform(chosen, lambda t: '+("' || t || '")'), ' ') || ' AND (' || required || ')' else required end as required_query from c
 """)
 def anchor_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
