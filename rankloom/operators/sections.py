@@ -65,23 +65,40 @@ def packed_passages(sections: DataFrame, key: str, text: str, target: int = 180,
     return packed.select(F.col("key").alias(key), "passage", F.col("said").alias("text"))
 
 
-def overlapping_chunks(rows: DataFrame, key: str, text: str, most: int = 900, cap: int | None = 6000) -> DataFrame:
-    """(key, chunk, text): sentences of the first ``cap`` characters packed up to ``most`` characters; each chunk begins with the sentence that ended the one before.
-
-    A cap is for abstracts before an expensive call; without one (None) whole texts are packed.
+def _sentences(body: str, most: int) -> list[str]:
+    """Sentences of at most ``most`` characters: longer ones are cut at blanks, and words that are longer still after ``most`` characters."""
+    out = []
+    for s in filter(None, re.split(r"(?<=[.!?])\s+", body.strip())):
+        while len(s) > most:
+            cut = s.rfind(" ", 1, most + 1)
+            cut = most if cut < 1 else cut
+            out.append(s[:cut])
+            s = s[cut:].lstrip()
+        if s:
+            out.append(s)
+    return out
+
+
+def overlapping_chunks(rows: DataFrame, key: str, text: str, most: int = 900) -> DataFrame:
+    """(key, chunk, text): the sentences of whole texts packed up to ``most`` characters; a chunk begins with the sentence that ended the one
+    before, if that had several. So the last sentence of several is also a chunk of its own, unless equal to the one before.
+
+    Sentences that are longer are cut at blanks, so no character but white space between sentences or pieces is lost. Texts without
+    any have no chunk.
     """
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for k, body in zip(pdf["key"], pdf["body"], strict=True):
-                sentences = [s for s in re.split(r"(?<=[.!?])\s+", (body or "")[:cap].strip()) if s]
-                chunks, current = [], []
-                for s in sentences:
-                    if current and sum(map(len, current)) + len(current) + len(s) > most:
-                        chunks.append(" ".join(current))
-                        current = current[-1:] if len(current[-1]) + 1 + len(s) <= most else []
-                    current.append(s[:most])
-                chunks += [" ".join(current)] if current else []
+                said = _sentences(re.sub(r"\s+", " ", body or ""), most)
+                chunks, first = [], 0
+                while first < len(said):
+                    last, size = first, len(said[first])
+                    while last + 1 < len(said) and size + 1 + len(said[last + 1]) <= most:
+                        last += 1
+                        size += 1 + len(said[last])
+                    chunks.append(" ".join(said[first : last + 1]))
+                    first = max(last, first + 1)
                 kept = [c for i, c in enumerate(chunks) if not i or c != chunks[i - 1]]
                 out += [(k, i, c) for i, c in enumerate(kept)]
             yield pd.DataFrame(out, columns=["key", "chunk", "said"])

@@ -123,17 +123,17 @@ def structure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("l_orderkey", A.structure_verdict(F.col("truth"), F.col("matched"), F.col("missing"), F.col("extras")).alias("verdict"))
 
 
-_RANKS = """s as (select l_orderkey as doc, l_linenumber as section, l_partkey, l_suppkey, l_quantity, l_discount, l_tax from lineitem),
-    e as (select *, row_number() over (partition by doc order by l_quantity desc, section, l_partkey, l_suppkey) as e_rank from s where l_quantity > 10),
-    f as (select *, row_number() over (partition by doc order by l_discount desc, section, l_partkey, l_suppkey) as f_rank from s where l_discount > 0.02),
-    g as (select *, row_number() over (partition by doc order by l_tax desc, section, l_partkey, l_suppkey) as g_rank from s where l_tax > 0.01),
-    i as (select s.doc, s.section, s.l_partkey, s.l_suppkey, e_rank, f_rank, g_rank from s left join e using (doc, section, l_partkey, l_suppkey) left join f using (doc, section, l_partkey, l_suppkey) left join g using (doc, section, l_partkey, l_suppkey))"""
+_KEY = "section, l_partkey, l_suppkey, l_quantity, l_discount, l_tax"
+_RANKS = f"""s as (select l_orderkey as doc, l_linenumber as section, l_partkey, l_suppkey, l_quantity, l_discount, l_tax from lineitem),
+    i as (select *, case when l_quantity > 10 then row_number() over (partition by doc, l_quantity > 10 order by l_quantity desc, {_KEY}) end as e_rank,
+        case when l_discount > 0.02 then row_number() over (partition by doc, l_discount > 0.02 order by l_discount desc, {_KEY}) end as f_rank,
+        case when l_tax > 0.01 then row_number() over (partition by doc, l_tax > 0.01 order by l_tax desc, {_KEY}) end as g_rank from s)"""
 
 
 def _inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("section"), "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
     steps = {"e_rank": ("l_quantity", 10), "f_rank": ("l_discount", 0.02), "g_rank": ("l_tax", 0.01)}
-    return O.inspection(lines, "doc", ["section", "l_partkey", "l_suppkey"], {name: (F.col(c) > least, F.desc(c)) for name, (c, least) in steps.items()})
+    return O.inspection(lines, "doc", _KEY.split(", "), {name: (F.col(c) > least, F.desc(c)) for name, (c, least) in steps.items()})
 
 
 @query(f"""

@@ -1,5 +1,7 @@
 """Operators that no SQL expresses, against small independent versions."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -36,6 +38,23 @@ def test_mmr_with_ties_missing_vectors_and_one_row(spark):
     assert pairs(retrieval.mmr(rows, "g", "id", "score", "v", k=1), "g", "position", "id") == [("a", 1, 1), ("a", 2, 2), ("b", 1, 7)]
 
 
+def test_xquad_equals_picks_from_the_whole_group(spark):
+    rng = random.Random(12)
+    rows = [(g, i, rng.random(), [rng.random() ** 8 for _ in range(6)]) for g in range(4) for i in range((5, 60, 200, 201)[g])]
+    df = spark.createDataFrame(rows, "g int, id int, base double, s array<double>")
+    for pool in (None, 1, 3):
+        got = retrieval.xquad(df, "g", "id", "base", "s", limit=12, trade=2.0, pool=pool).orderBy("g", "position").collect()
+        for g in range(4):
+            mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+            most = [max(r[3][k] for r in mine) for k in range(6)]
+            covered, picked = [0.0] * 6, []
+            for _ in range(min(12, len(mine))):
+                best = max((r for r in mine if r[1] not in picked), key=lambda r: r[2] + 2.0 * sum(x / m / (1 + c) for x, m, c in zip(r[3], most, covered)))
+                picked.append(best[1])
+                covered = [c + x / m for c, x, m in zip(covered, best[3], most)]
+            assert [r.id for r in got if r.g == g] == picked
+
+
 def test_xquad_prefers_uncovered_aspects(spark):
     rows = spark.createDataFrame([(0, 1, 1.0, [1.0, 0.0]), (0, 2, 0.95, [1.0, 0.0]), (0, 3, 0.8, [0.0, 1.0])], "g int, id int, base double, s array<double>")
     got = retrieval.xquad(rows, "g", "id", "base", "s", limit=3, trade=1.0)
@@ -165,8 +184,16 @@ def test_packed_passages(spark):
 
 
 def test_overlapping_chunks_repeat_the_last_sentence(spark):
-    rows = spark.createDataFrame([(1, "One two. Three four. Five six. Seven."), (2, None)], "k int, t string")
-    assert pairs(sections.overlapping_chunks(rows, "k", "t", most=24), "chunk", "text") == [(0, "One two. Three four."), (1, "Three four. Five six."), (2, "Five six. Seven.")]
+    rows = spark.createDataFrame([(1, "One two.  Three\nfour. Five six. Seven."), (2, None), (3, "x y")], "k int, t string")
+    want = [(1, 0, "One two. Three four."), (1, 1, "Three four. Five six."), (1, 2, "Five six. Seven."), (1, 3, "Seven."), (3, 0, "x y")]
+    assert pairs(sections.overlapping_chunks(rows, "k", "t", most=24), "k", "chunk", "text") == want
+
+
+def test_overlapping_chunks_keep_long_sentences(spark):
+    words = [f"word{i}" for i in range(399)] + ["end."] + ["9" * 2000, "tail."]
+    got = pairs(sections.overlapping_chunks(spark.createDataFrame([(1, " ".join(words))], "k int, t string"), "k", "t"), "chunk", "text")
+    assert all(len(t) <= 900 for _, t in got)
+    assert {w for _, t in got for w in t.split()} >= set(words) - {"9" * 2000} and sum(t.count("9" * 100) for _, t in got) >= 20
 
 
 def test_interval_overlap_meets_once(spark):
