@@ -65,23 +65,24 @@ def packed_passages(sections: DataFrame, key: str, text: str, target: int = 180,
     return packed.select(F.col("key").alias(key), "passage", F.col("said").alias("text"))
 
 
-def _sentences(body: str, most: int) -> list[str]:
-    """Sentences of at most ``most`` characters: longer ones are cut at blanks, and words that are longer still after ``most`` characters."""
+def _sentences(body: str, most: int) -> list[tuple[str, bool]]:
+    """(text, whether it is a piece) of sentences of at most ``most`` characters: longer ones are cut at blanks, and words that are longer still after ``most`` characters."""
     out = []
-    for s in filter(None, re.split(r"(?<=[.!?])\s+", body.strip())):
+    for whole in filter(None, re.split(r"(?<=[.!?])\s+", body.strip())):
+        s = whole
         while len(s) > most:
             cut = s.rfind(" ", 1, most + 1)
             cut = most if cut < 1 else cut
-            out.append(s[:cut])
+            out.append((s[:cut], True))
             s = s[cut:].lstrip()
         if s:
-            out.append(s)
+            out.append((s, s != whole))
     return out
 
 
 def overlapping_chunks(rows: DataFrame, key: str, text: str, most: int = 900) -> DataFrame:
     """(key, chunk, text): the sentences of whole texts packed up to ``most`` characters; a chunk begins with the sentence that ended the one
-    before, if that had several. So the last sentence of several is also a chunk of its own, unless equal to the one before.
+    before, if that had several. So the last sentence of several is also a chunk of its own. Equal sentences that would be chunks one after another are one.
 
     Sentences that are longer are cut at blanks, so no character but white space between sentences or pieces is lost. Texts without
     any have no chunk.
@@ -90,16 +91,17 @@ def overlapping_chunks(rows: DataFrame, key: str, text: str, most: int = 900) ->
         for pdf in batches:
             out = []
             for k, body in zip(pdf["key"], pdf["body"], strict=True):
-                said = _sentences(re.sub(r"\s+", " ", body or ""), most)
-                chunks, first = [], 0
-                while first < len(said):
-                    last, size = first, len(said[first])
-                    while last + 1 < len(said) and size + 1 + len(said[last + 1]) <= most:
+                parts = _sentences(re.sub(r"\s+", " ", body or ""), most)
+                kept, first = [], 0
+                while first < len(parts):
+                    last, size = first, len(parts[first][0])
+                    while last + 1 < len(parts) and size + 1 + len(parts[last + 1][0]) <= most:
                         last += 1
-                        size += 1 + len(said[last])
-                    chunks.append(" ".join(said[first : last + 1]))
+                        size += 1 + len(parts[last][0])
+                    chunk = " ".join(said for said, _ in parts[first : last + 1])
+                    if not kept or kept[-1] != chunk or (parts[first][1] and first == last):
+                        kept.append(chunk)
                     first = max(last, first + 1)
-                kept = [c for i, c in enumerate(chunks) if not i or c != chunks[i - 1]]
                 out += [(k, i, c) for i, c in enumerate(kept)]
             yield pd.DataFrame(out, columns=["key", "chunk", "said"])
 
