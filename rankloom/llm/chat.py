@@ -57,7 +57,7 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 256, sys
     share = (budget - history - system) // 2
     order = ["turn", "role", "text"]
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)).cast("long") + MARKS).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK_TURNS))
+    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)).cast("long") + MARKS).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))))
 
     in_block = Window.partitionBy("conv_id", "block").orderBy(*order)
     rows = ws.save(rows.withColumn("end", F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, 0))).withColumn("number", F.row_number().over(in_block)))

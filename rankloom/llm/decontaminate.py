@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,18 @@ from ..operators.workspace import Workspace
 SIZE_CLASSES = ((8, 8, 0.8), (40, 18, 4), (1 << 62, 30, 10))
 #: The items' minima or shingles are broadcast if they take at most so many bytes; more are joined by a shuffle.
 BROADCAST_BYTES = 100_000_000
+#: Below it the chances of larger items shrink; their minima are bits of one number.
+LEAST_PERCENT = 20
+
+
+def _class(minima: int, needed: int, percent: int) -> tuple[int, int]:
+    """Minima kept and needed: the table's at 80 percent or more; below, as many that a document with ``percent`` of an item misses it less than once in a million times."""
+    if percent >= 80:
+        return minima, needed
+    p = max(percent, LEAST_PERCENT) / 100
+    minima = max(minima, math.ceil(-6 / math.log10(1 - p)))
+    chances = [math.comb(minima, held) * p**held * (1 - p) ** (minima - held) for held in range(minima)]
+    return minima, max(n for n in range(1, minima + 1) if n == 1 or sum(chances[:n]) <= 1e-6)
 
 
 def _words(text: str) -> Column:
@@ -45,15 +59,18 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 8
 
     Documents without text hold nothing; items without words are in nothing.
     Rows that repeat an id count as one document or item; rows with a null id are
-    left out.  ``percent`` below 80 keeps the class table's chances only for items of up to
-    eight shingles.  Other columns are ignored.
+    left out.  Below 80 ``percent`` items keep more minima and documents need fewer of them, so that the chances stay, down to 20.
+    Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "decontaminate")
     given = docs.select(F.col(id_col).alias("doc"), _words(text_col).alias("words")).filter("doc is not null")
     wanted = items.select(F.col(item_col).alias("item"), _words(item_text_col).alias("words")).filter("item is not null")
     grams = ws.save(_grams(wanted, k).distinct())
     sizes = grams.groupBy("item").agg(F.count("*").alias("n_item"))
-    classed = sizes.select("item", "n_item", *[F.expr("case " + " ".join(f"when n_item <= {c[0]} then {v}" for c, v in zip(SIZE_CLASSES, values, strict=True)) + " end").alias(name) for name, values in (("minima", [c[1] for c in SIZE_CLASSES]), ("needed", ["greatest(1, ceil(n_item * 0.8))" if c[2] < 1 else c[2] for c in SIZE_CLASSES]))])
+    smallest = f"greatest(1, ceil(n_item * {min(percent, 80)} / 100))"
+    classes = [(size, minima, smallest) if needed < 1 else (size, *_class(minima, needed, percent)) for size, minima, needed in SIZE_CLASSES]
+    by_size = lambda at: F.expr("case " + " ".join(f"when n_item <= {c[0]} then {c[at]}" for c in classes) + " end")
+    classed = sizes.select("item", "n_item", by_size(1).alias("minima"), by_size(2).alias("needed"))
     classed = ws.save(classed)
 
     # the least shingle under each permutation; the smallest items keep all

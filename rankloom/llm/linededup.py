@@ -25,7 +25,7 @@ def _ranked(keys: DataFrame, columns: list[str], ws: Workspace) -> DataFrame:
     return out
 
 
-def repeated_runs(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, version, runs): the line runs of each document that an earlier one holds, as (first, last) line from 0.
 
     doc is the id (the least bigint for null) and version a hash of the text.
@@ -36,9 +36,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id",
     pair of ranks n lines apart.  Every suffix asks for its shortest prefix of
     ``min_words`` words; the suffixes that share it (a longest-common-prefix
     interval at that depth, named by two ranks) are copies of a run, all but the first by
-    (doc, line) are later copies.  Overlapping ones make up a maximal run but for its
-    last lines, where these have fewer than ``min_words`` words together after the line
-    before them.  With ``whole``, the shortest stretches of ``min_words`` words that END at each line are
+    (doc, line) are later copies.  The shortest stretches of ``min_words`` words that END at each line are
     asked for too; both kinds together cover every line of a maximal run.
     Doubling ends at the longest stretch asked for.
     """
@@ -57,22 +55,20 @@ def repeated_runs(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id",
     stretches = found.withColumn("stretch", F.col("line") - F.row_number().over(by_line))
     stretches = stretches.withColumn("before", F.sum("words").over(in_stretch.orderBy("line")) - F.col("words"))
     stretches = stretches.withColumn("end", F.max("line").over(in_stretch) + 1).withColumn("all", F.sum("words").over(in_stretch))
-    kinds = [0, 1, 2] if whole else [0, 1]  # a line itself, the prefix from it, the stretch that ends with it
+    kinds = [0, 1, 2]  # a line itself, the prefix from it, the stretch that ends with it
     at = F.col("before") + F.when(F.col("kind") == 1, min_words).when(F.col("kind") == 2, F.col("words") - min_words).otherwise(0)
     asked = stretches.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).withColumn("at", at)
     itself = F.col("kind") == 0
     from_behind = in_stretch.orderBy(F.desc("at"), "kind", F.desc("line")).rowsBetween(Window.unboundedPreceding, 0)
     from_front = in_stretch.orderBy("at", "kind", "line").rowsBetween(Window.unboundedPreceding, 0)
     asked = asked.withColumn("stop", F.last(F.when(itself, F.col("line")), ignorenulls=True).over(from_behind))
-    if whole:
-        asked = asked.withColumn("start", F.last(F.when(itself, F.struct("line", "before")), ignorenulls=True).over(from_front))
+    asked = asked.withColumn("start", F.last(F.when(itself, F.struct("line", "before")), ignorenulls=True).over(from_front))
     asked = asked.filter("kind > 0")
     stop = F.coalesce("stop", F.when(F.col("all") - F.col("before") >= min_words, F.col("end")))
     due = asked.filter("kind = 1").select(*KEY, "line", (stop - F.col("line")).alias("depth")).filter("depth > 0")
-    if whole:
-        # those that are the shortest from their first line are prefixes already
-        ending = asked.filter("kind = 2").filter(F.col("before") - F.col("start.before") >= min_words)
-        due = due.union(ending.select(*KEY, F.col("start.line").alias("line"), (F.col("line") - F.col("start.line") + 1).alias("depth")))
+    # those that are the shortest from their first line are prefixes already
+    ending = asked.filter("kind = 2").filter(F.col("before") - F.col("start.before") >= min_words)
+    due = due.union(ending.select(*KEY, F.col("start.line").alias("line"), (F.col("line") - F.col("start.line") + 1).alias("depth")))
     asked = ws.save(due)
     suffixes = ws.save(found.select(*KEY, "line", "rank"))
     ws.drop(found)
@@ -110,11 +106,11 @@ def repeated_runs(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id",
     return islands.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", out: str = "removed", whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text", out: str = "removed") -> DataFrame:
     """``docs`` without the later copies of repeated line runs; ``out`` holds the runs removed, as (first, last) line from 0.
 
     A run is one or more whole lines of ``min_words`` words or more together;
-    its first copy by (id, line) stays.  Without ``whole``, short last lines of a run may stay in its later copies too.  Every line that goes has an equal line earlier, so the
+    its first copy by (id, line) stays.  Every line that goes has an equal line earlier, so the
     first of any line is never removed.  Lines are equal by two 64-bit hashes.
 
     A null text stays null and an empty one empty, with nothing removed; a text of
@@ -124,7 +120,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", te
     """
     ws = Workspace(docs.sparkSession, "linededup-out")
     docs = docs.drop(out)
-    runs = ws.save(repeated_runs(docs, min_words, id_col, text_col, whole)).withColumnsRenamed({"doc": "_doc", "version": "_version", "runs": out})
+    runs = ws.save(repeated_runs(docs, min_words, id_col, text_col)).withColumnsRenamed({"doc": "_doc", "version": "_version", "runs": out})
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     version = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     joined = docs.join(runs.hint("shuffle_hash"), (key == F.col("_doc")) & (version == F.col("_version")), "left").drop("_doc", "_version")

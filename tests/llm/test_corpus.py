@@ -243,29 +243,50 @@ def test_decontamination_finds_items_in_long_documents(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(100 + i, i) for i in range(6)} | {(200, 4), (203, 6)}
 
 
+@pytest.mark.parametrize("percent", [30, 60, 95])
+def test_decontamination_at_other_thresholds(spark, percent):
+    rng = random.Random(percent)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    items = [text(n) for n in (12, 12, 20, 40, 80, 200)]  # a 12-word item has 8 shingles
+    docs, want = [], set()
+    for i, t in enumerate(items):
+        for share in (25, 35, 62.5, 70, 97, 100):
+            kept = t[: 4 + math.ceil((len(t) - 4) * share / 100)]
+            docs.append((100 * i + int(share), " ".join(text(30) + kept + text(30))))
+            if 100 * (len(kept) - 4) >= percent * (len(t) - 4):
+                want.add((docs[-1][0], i))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"), percent=percent)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 # 5 repeated lines
 
 
+def plain_line_dedup(rows):
+    """All runs a..b of 25 words or more that an earlier (id, line) has too; a line that occurs once is in none."""
+    often, seen, out = Counter(x for _, t in rows for x in t.split("\n")), set(), {}
+    for i, t in rows:
+        lines, gone = t.split("\n"), set()
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                if often[lines[b]] == 1:
+                    break
+                n += len(words(lines[b]))
+                if n >= 25:
+                    run = tuple(lines[a : b + 1])
+                    gone |= set(range(a, b + 1)) if run in seen else set()
+                    seen.add(run)
+        out[i] = ("\n".join(x for j, x in enumerate(lines) if j not in gone), len(gone))
+    return out
+
+
 def test_line_dedup_equals_brute_force(spark, documents):
     rng = random.Random(6)
     pool = [" ".join(f"l{i}w{j}" for j in range(rng.choice([0, 1, 3, 9, 30]))) for i in range(40)]
     rows = sorted(documents) + [(5000 + i, "\n".join(rng.choices(pool, k=rng.randrange(1, 25)))) for i in range(150)]
     got = {r.doc_id: (r.text, sum(x.last - x.first + 1 for x in r.removed)) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 25).collect()}
-    seen = set()
-    for i, t in rows:
-        lines = t.split("\n")
-        gone = set()
-        for a in range(len(lines)):
-            b, n = a, 0
-            while b < len(lines) and n < 25:
-                n += len(re.findall(r"[^\x20\x09-\x0D]+", lines[b]))
-                b += 1
-            if n >= 25:
-                run = tuple(lines[a:b])
-                if run in seen:
-                    gone |= set(range(a, b))
-                seen.add(run)
-        assert got[i] == ("\n".join(x for j, x in enumerate(lines) if j not in gone), len(gone)), i
+    assert got == plain_line_dedup(rows)
 
 
 def test_line_dedup_takes_whole_runs(spark):
@@ -275,7 +296,7 @@ def test_line_dedup_takes_whole_runs(spark):
     long = " ".join(f"q{j}" for j in range(30))
     rows += [(100, f"{long}\nshort closing line\na"), (101, f"b\n{long}\nshort closing line\n\nc"), (102, f"{long}\nshort closing line\n\nd")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in linededup.dedup_lines(frame, 25, whole=True).collect()}
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame, 25).collect()}
     seen = set()
     for i, t in rows:
         lines = t.split("\n")
@@ -634,6 +655,19 @@ def test_empty_table(none, name):
     assert OPERATORS[name](none).isEmpty()
 
 
+def test_chat_puts_null_turns_first(spark):
+    rows = [(1, -1000, "user", "b"), (1, None, "system", "a"), (1, 5, "assistant", "c"), (1, 5, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("block", "window", "number", "tokens", "said")})
+    back = chat.read_back(chat.format_windows(df)).first()
+    assert [t.text for t in back.turns] == ["a", "b", "c", "c"]
+
+
+def test_chat_of_very_long_texts(spark):
+    rows = [(1, 0, "user", LONG), (1, 1, "assistant", LONG[::-1])]
+    back = chat.read_back(chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [t.text for t in back.turns] == [LONG, LONG[::-1]] and back.loss_texts == [LONG[::-1]]
+
+
 def test_chat_of_nothing(spark):
     assert chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).isEmpty()
 
