@@ -1,4 +1,9 @@
-"""Training data from ``documents``: language, repeated lines, near duplicates, benchmark leaks, token ids."""
+"""Training data from ``documents``: language, repeated lines, near duplicates, benchmark leaks, token ids.
+
+Every stage takes any table with the columns of documents; others stay until the last one. Null and
+empty texts have no language and go first. Repeated rows, which have the same id and text, are one document: they come out
+of the near duplicates once. Null ids count as one id. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -26,14 +31,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs; a document of which nothing is left goes."""
-    found = dedup_lines(docs, whole=True).filter((F.size("removed") == 0) | (F.col("text") != ""))
+    found = dedup_lines(docs).filter((F.size("removed") == 0) | (F.col("text") != ""))
     return found.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest id."""
+    """One document of each group of near duplicates stays, the one of the smallest id; of rows with the same id and text one."""
     others = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    again = Workspace(spark, "pipeline-near").save(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")))
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti").union(repeated)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
