@@ -680,23 +680,7 @@ def test_pipeline_equals_its_parts_by_brute_force(spark):
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = {r.doc_id: r.text for r in corpus_pipeline.language(spark, docs, DATA).collect()}
-    seen, lined = set(), {}
-    often = Counter(x for t in kept.values() for x in t.split("\n"))
-    for i, t in sorted(kept.items()):
-        lines, gone = t.split("\n"), set()
-        for a in range(len(lines)):
-            n = 0
-            for b in range(a, len(lines)):  # all runs a..b; a line that occurs once is in no repeated one
-                if often[lines[b]] == 1:
-                    break
-                n += len(words(lines[b]))
-                if n >= 25:
-                    run = tuple(lines[a : b + 1])
-                    gone |= set(range(a, b + 1)) if run in seen else set()
-                    seen.add(run)
-        left = "\n".join(x for j, x in enumerate(lines) if j not in gone)
-        if left or not gone:
-            lined[i] = left
+    lined = {i: left for i, (left, gone) in plain_line_dedup(sorted(kept.items())).items() if left or not gone}
     near = {i for i, (_, _, kept_) in linked_components(list(lined.items()), 5, 80).items() if kept_}
     grams = lambda t: {tuple(w[j : j + 5]) for w in [re.findall(r"[^\W_]+", t.lower())] for j in range(len(w) - 4)}
     items = [grams(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
@@ -706,3 +690,21 @@ def test_pipeline_equals_its_parts_by_brute_force(spark):
     library = Tokenizer.from_file(TOKENIZER)
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, DATA).collect()}
     assert got == {i: library.encode(lined[i], add_special_tokens=False).ids for i in clean}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, another column; then an empty table."""
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("extra", F.lit("x"))
+    three = given.orderBy("doc_id").limit(3)
+    empty = given.limit(2).withColumns({"text": F.when(F.col("doc_id") % 2 == 0, "").cast("string"), "doc_id": F.col("doc_id") + 100_000})
+    unnamed = given.orderBy(F.desc("doc_id")).limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    plain, odd = given, given.union(three).union(three).union(empty).union(unnamed).union(unnamed)
+    for name, docs in (("plain", plain), ("odd", odd), ("none", given.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    rows = lambda name: Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect())
+    want, got = rows("plain"), rows("odd")
+    assert max(got.values()) == 1 and {k for k in got if k[0] is not None} <= set(want) and len(got) >= len(want) - 1
+    assert not rows("none")
