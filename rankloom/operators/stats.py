@@ -52,7 +52,7 @@ def spearman(rows: DataFrame, left: str, right: str, tie: str) -> DataFrame:
     """(rho, n): rank correlation 1 - 6 sum d2 / (n (n2 - 1)); ranks descend, ties by ``tie``; 1 for a single row."""
     ranked = global_rank(global_rank(rows.select(left, right, tie), [F.desc(left), tie], "a"), [F.desc(right), tie], "b")
     total = ranked.agg(F.count("*").alias("n"), F.sum(F.pow(F.col("a") - F.col("b"), 2)).alias("d2"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # the cube of two million rows is beyond 64 bits
     return total.select(F.when(n < 2, 1.0).otherwise(1 - 6 * F.col("d2") / (n * (n * n - 1))).alias("rho"), "n")
 
 
