@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import text as T
 from ..functions.records import reasons
 from .joins import title_similarity as jaccard
+from .workspace import Workspace
 
 #: Keys of titles that are furniture, and of those that only wrap others.  Fixed values.
 KNOWN_NOISE = "(page|seite) [0-9]+|figure [0-9]+.*|table [0-9]+.*|abbildung [0-9]+.*|tabelle [0-9]+.*|copyright.*|all rights reserved.*|downloaded from.*"
@@ -72,23 +73,34 @@ def anchor_headings(proposals: DataFrame, blocks: DataFrame, doc: str, least: fl
     Its page's blocks are searched; if there are none, those of the pages beside it; if there are none either, all of the document.  Without a block
     of ``least`` similarity it is the first of its page, if the page has any.
     """
-    said = blocks.select(doc, F.col("page").alias("at"), "block", "said")
-    pages = said.select(doc, "at").distinct()
+    said = blocks.select(doc, F.col("page").alias("near"), "block", T.normalize_title(F.col("said")).alias("said"))
+    asked = proposals.select(doc, "proposal", "page", T.normalize_title(F.col("title")).alias("asked"))
+    pages = said.select(doc, "near").distinct()
 
     def without(rows: DataFrame, page: str) -> DataFrame:
         """Proposals that have no block on any of the pages named."""
-        hit = rows.join(pages, [rows[doc] == pages[doc], rows[page] == pages["at"]], "left_semi").select(doc, "proposal").distinct()
+        hit = rows.join(pages, [rows[doc] == pages[doc], rows[page] == pages["near"]], "left_semi").select(doc, "proposal").distinct()
         return rows.join(hit, [doc, "proposal"], "left_anti")
 
-    own = proposals.withColumn("near", F.col("page"))
+    ws = Workspace(blocks.sparkSession, "anchors")
+    own = asked.withColumn("near", F.col("page"))
     beside = without(own, "near").withColumn("near", F.explode(F.array(F.col("page") - 1, F.col("page") + 1)))
     nowhere = without(beside, "near").drop("near").dropDuplicates([doc, "proposal"])
-    by_page = lambda rows, tier: rows.join(said.withColumnRenamed("at", "near"), [doc, "near"]).withColumn("tier", F.lit(tier))
-    near = by_page(own, 0).unionByName(by_page(beside, 1)).drop("near").unionByName(nowhere.join(said.drop("at"), doc).withColumn("tier", F.lit(2)))
-    scored = near.withColumn("score", similarity(T.normalize_title(F.col("title")), T.normalize_title(F.col("said"))))
-    best = scored.groupBy(doc, "proposal").agg(F.max("score").alias("score"), F.max_by("block", F.struct("score", (-F.col("block")).alias("b"))).alias("best"), F.min(F.when(F.col("tier") == 0, F.col("block"))).alias("first"))
-    found = F.col("score") >= least
-    return best.select(doc, "proposal", F.when(found, F.col("best")).otherwise(F.col("first")).alias("block"), F.when(found, "text_match").when(F.col("first").isNotNull(), "page_start").alias("method"), F.round("score", 3).alias("confidence"))
+    by_page = ws.save(own.withColumn("tier", F.lit(0)).unionByName(beside.withColumn("tier", F.lit(1))).drop("page"))
+    nowhere = ws.save(nowhere.drop("page"))
+
+    # a text stands once on a page, with its first block, and is compared once with every title that is looked for there
+    near = by_page.select(doc, "near", "asked").distinct().join(said.groupBy(doc, "near", "said").agg(F.min("block").alias("block")), [doc, "near"])
+    far = nowhere.select(doc, "asked").distinct().join(said.groupBy(doc, "said").agg(F.min("block").alias("block")), doc)
+    pairs = ws.save(near.unionByName(far, allowMissingColumns=True))
+    texts = pairs.select("asked", "said").distinct().repartition(F.col("asked"), F.col("said")).withColumn("score", similarity(F.col("asked"), F.col("said")))
+    most = F.max_by(F.struct("score", "block"), F.struct("score", (-F.col("block")).alias("b")))
+    held = ws.save(pairs.join(texts, ["asked", "said"]).groupBy(doc, "near", "asked").agg(most.alias("most"), F.min("block").alias("first")))
+    met = by_page.join(held, [doc, "near", "asked"]).select(doc, "proposal", "tier", "most", "first")
+    met = met.unionByName(nowhere.join(held.filter("near is null"), [doc, "asked"]).select(doc, "proposal", F.lit(2).alias("tier"), "most", "first"))
+    best = met.groupBy(doc, "proposal").agg(F.max_by("most", F.struct("most.score", (-F.col("most.block")).alias("b"))).alias("most"), F.min(F.when(F.col("tier") == 0, F.col("first"))).alias("first"))
+    found = F.col("most.score") >= least
+    return best.select(doc, "proposal", F.when(found, F.col("most.block")).otherwise(F.col("first")).alias("block"), F.when(found, "text_match").when(F.col("first").isNotNull(), "page_start").alias("method"), F.round("most.score", 3).alias("confidence"))
 
 
 def strong_match(similar: Column, overlap: Column, words: Column) -> Column:
