@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -137,6 +139,82 @@ def one_to_one(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.groupBy(group).applyInPandas(choose, schema)
 
 
+def matched_sections(truth: DataFrame, produced: DataFrame, group: str) -> DataFrame:
+    """``one_to_one`` of ``strong_pairs``, without the pairs, of which there are as many as a group's sections squared.
+
+    Sections of a group with the same title and page have the same scores, so a group is its classes, each with its ids in order, and the
+    scores of its titles. From the best score down, the next free judged section takes the first free produced one of any class that has this score with its own.
+    """
+    titles = ["a", "b"]
+    similar = truth.select(group, "a").distinct().join(produced.select(group, "b").distinct(), group).select(titles).distinct()
+    similar = similar.withColumn("similar", similarity(F.col("a"), F.col("b"))).filter("similar >= 0.42")
+    score = lambda overlap: F.when(strong_match(F.col("similar"), F.lit(overlap), F.size(F.split("a", " "))), F.round(0.8 * F.col("similar") + 0.2 * F.lit(overlap).cast("int"), 6))
+    held = truth.select(group, "a").distinct().join(similar, "a").join(produced.select(group, "b").distinct(), [group, "b"])
+    scores = held.select(group, *titles, score(True).alias("near"), score(False).alias("apart")).filter("near is not null")
+    ids = lambda rows, title, page, own: rows.groupBy(group, F.col(title).alias("title"), F.col(page).cast("double").alias("page")).agg(F.sort_array(F.collect_list(own)).alias("ids"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for rows, c in ((truth, group), (truth, "truth"), (produced, "produced"))}
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", score double"
+    sides = ids(truth, "a", "page", "truth").withColumnRenamed("ids", "truth").join(ids(produced, "b", "at", "produced").withColumnRenamed("ids", "produced"), [group, "title", "page"], "full")
+
+    def choose(key: tuple, classes: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *row) for row in _best_first(classes, scored)], columns=[*kinds, "score"])
+
+    return sides.groupBy(group).cogroup(scores.groupBy(group)).applyInPandas(choose, schema)
+
+
+def _best_first(classes: pd.DataFrame, scored: pd.DataFrame) -> list[tuple]:
+    """(truth, produced, score) of one group, as ``matched_sections`` says; a page that is null overlaps none, and its scores are null and last."""
+    judged, made = defaultdict(list), defaultdict(list)
+    for c in classes.itertuples():
+        page = None if pd.isna(c.page) else c.page
+        if c.truth is not None:
+            judged[c.title].append([page, c.truth.tolist(), 0])
+        if c.produced is not None:
+            made[c.title].append([page, c.produced.tolist(), 0])
+    levels = defaultdict(lambda: defaultdict(list))
+    for a, b, near, apart in zip(scored["a"], scored["b"], scored["near"], scored["apart"], strict=True):
+        levels[near][a].append((b, 0))
+        if not pd.isna(apart):
+            levels[apart][a].append((b, 1))
+            levels[None][a].append((b, 2))
+    used_truth, used_produced, out = set(), set(), []
+
+    def next_free(c: list, used: set):
+        while c[2] < len(c[1]) and c[1][c[2]] in used:
+            c[2] += 1
+        return c[1][c[2]] if c[2] < len(c[1]) else None
+
+    def fits(page: float | None, at: float | None) -> int:
+        return 2 if page is None or at is None else int(abs(page - at) > 5)
+
+    for level in sorted(levels, key=lambda s: -1 if s is None else s, reverse=True):
+        waiting, partners = [], {}
+        for a, others in levels[level].items():
+            for i, c in enumerate(judged[a]):
+                if (first := next_free(c, used_truth)) is not None:
+                    partners[a, i] = [d for b, kind in others for d in made[b] if fits(c[0], d[0]) == kind and next_free(d, used_produced) is not None]
+                    waiting.append((first, a, i))
+        heapq.heapify(waiting)
+        while waiting:
+            first, *_ = waiting[0]
+            best = None
+            while waiting and waiting[0][0] == first:  # an id may stand in more than one class
+                _, a, i = heapq.heappop(waiting)
+                free = [x for d in partners[a, i] if (x := next_free(d, used_produced)) is not None]
+                if not free:
+                    continue  # nothing is left for the class at this score
+                best = min(free) if best is None else min(best, *free)
+                c = judged[a][i]
+                c[2] += 1
+                if (following := next_free(c, used_truth)) is not None:
+                    heapq.heappush(waiting, (following, a, i))
+            if best is not None:
+                used_truth.add(first)
+                used_produced.add(best)
+                out.append((first, best, level))
+    return out
+
+
 def exclusion_terms(query: Column) -> Column:
     """Terms of the NOT clauses of a Boolean query: a word, a quoted phrase, or a group without inner groups."""
     clauses = F.regexp_extract_all(query, F.lit('\\bNOT\\s+(\\([^()]*\\)|"[^"]*"|[^\\s()"]+)'), F.lit(1))

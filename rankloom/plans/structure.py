@@ -55,7 +55,7 @@ def truth_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", T.normalize_title(F.col("p_type")).alias("title"), "p_size")
     truth = parts.filter("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("truth"), F.col("title").alias("a"), F.col("p_size").alias("page"))
     produced = parts.filter("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("produced"), F.col("title").alias("b"), F.col("p_size").alias("at"))
-    return S.one_to_one(S.strong_pairs(truth, produced, "p_brand"), "p_brand")
+    return S.matched_sections(truth, produced, "p_brand")
 
 
 _QUERIES = ["climate NOT (policy OR \"trade law\")", "water/energy systems", "a/b/c and \"x/y\"", "NOT \"one two three four\" z", "see http://a.b/c", "plain"]
