@@ -63,3 +63,18 @@ def title_similarity(a: Column, b: Column) -> Column:
     """Jaccard of the words of two normalised titles."""
     x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+
+
+def similar_titles(rows: DataFrame, group: list[str], left: str, right: str, title: str, least: float) -> DataFrame:
+    """(left, right, similarity) of all pairs of a group, the smaller key left, whose normalised titles are ``least`` similar.
+
+    Titles are compared once in a group, so a pair of rows costs no more than its join. The rows are few beside
+    their pairs, so they are spread by number: partitions of a size that Spark aims at would put all pairs into few tasks.
+    """
+    spark = rows.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    titles = rows.select(*group, title).distinct()
+    similar = titles.join(titles.withColumnRenamed(title, "_other"), group).withColumn("similarity", title_similarity(F.col(title), F.col("_other"))).filter(F.col("similarity") >= least)
+    met = rows.join(similar, [*group, title]).select(*group, left, "_other", "similarity").repartition(spread, *group, "_other")
+    others = rows.select(*group, F.col(left).alias(right), F.col(title).alias("_other")).repartition(spread, *group, "_other")
+    return met.join(others, [*group, "_other"]).filter(F.col(left) < F.col(right)).select(left, right, "similarity")

@@ -78,8 +78,7 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def strong_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "part").select("p_brand", "p_size", F.col("p_partkey").alias("left_id"), normalize_title(F.col("p_type")).alias("a"))
-    pairs = t.join(t.select("p_brand", "p_size", F.col("left_id").alias("right_id"), F.col("a").alias("b")), ["p_brand", "p_size"]).filter("left_id < right_id")
-    return pairs.select("left_id", "right_id", J.title_similarity(F.col("a"), F.col("b")).alias("similarity")).filter("similarity >= 0.5").withColumn("similarity", F.round("similarity", 6))
+    return J.similar_titles(t, ["p_brand", "p_size"], "left_id", "right_id", "a", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""
