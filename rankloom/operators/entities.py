@@ -79,9 +79,10 @@ def build_candidates(records: DataFrame, order: str) -> DataFrame:
     """
     keyed = records.withColumn("keys", candidate_keys(F.col("doi"), F.col("arxiv"), F.col("pmid"), F.col("title"), F.col("year"), F.col("authors")))
     placed = keyed.join(merge_online(keyed.select(order, "keys"), order, "keys"), order)
-    source = F.struct("provider", "query_hash", "query", "rank")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), source.alias("source")))), lambda s: s.source)
-    merged = placed.groupBy("cluster").agg(*merged_fields(order), F.min("doi").alias("doi"), F.min("arxiv").alias("arxiv"), F.min("pmid").alias("pmid"), provider_ids("provider", order).alias("provider_ids"), F.array_distinct(in_order).alias("sources"))
+    source = ["provider", "query_hash", "query", "rank"]
+    once = placed.groupBy("cluster", *source).agg(F.min(order).alias("at")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("at", F.struct(*source).alias("source")))).alias("sources"))
+    merged = placed.groupBy("cluster").agg(*merged_fields(order), F.min("doi").alias("doi"), F.min("arxiv").alias("arxiv"), F.min("pmid").alias("pmid"), provider_ids("provider", order).alias("provider_ids"))
+    merged = merged.join(once, "cluster").withColumn("sources", F.transform("sources", lambda s: s.source))
     named = merged.withColumn("candidate", final_id(normalize_doi(F.col("doi")), normalize_arxiv(F.col("arxiv")), F.col("pmid"), F.substring(F.sha2(F.concat_ws("|", normalize_title(F.col("title")), F.col("year").cast("string")), 256), 1, 16)))
     same = named.groupBy("candidate").agg(F.count("*").alias("collisions"))
     return named.join(same, "candidate").drop("cluster")
