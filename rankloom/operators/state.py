@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,26 +64,55 @@ def lease_replay(events: DataFrame, task: str, order: list[str], lease: int) ->
     A claim succeeds on a queued task or where the running claim is older than ``lease``; a
     complete event ends a running task once; everything else is refused.
     """
-    columns = [task, *order, "outcome"]
-    schema = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in columns[:-1]) + ", outcome string"
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        status, claimed, out = "queued", None, []
-        for action, at in zip(pdf["action"], pdf["at"], strict=True):
+    def replay(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, status, claimed = None, "queued", None
+        for row in rows:
+            name, action, at = row[0], row[-2], row[-1]
+            if last is None or name != last[0]:
+                last, status, claimed = (name,), "queued", None
+            outcome = "refused"
             if status == "success":
-                out.append("already_done")
-            elif action == "claim" and (status == "queued" or at - claimed > lease):
-                out.append("claimed" if status == "queued" else "reclaimed")
+                outcome = "already_done"
+            elif action == "claim" and (status == "queued" or (at is not None and claimed is not None and at - claimed > lease)):
+                outcome = "claimed" if status == "queued" else "reclaimed"
                 status, claimed = "running", at
             elif action == "complete" and status == "running":
-                out.append("completed")
-                status = "success"
-            else:
-                out.append("refused")
-        return pdf.assign(outcome=out)[columns]
+                outcome, status = "completed", "success"
+            yield (outcome,)
+
+    return _replayed(events.select(task, *order, F.col("action").alias("_action"), F.col("at").alias("_at")), task, order, replay, [T.StructField("outcome", T.StringType())], ["_action", "_at"])
+
+
+def _replayed(rows: DataFrame, key: str, order: list[str], replay, fields: list[T.StructField], inputs: list[str]) -> DataFrame:
+    """``rows`` less ``inputs`` (its last columns) with what ``replay`` gives for each row, in order within each key.
+
+    A partition's keys follow one another through one call of ``replay``, a batch at a time; no key is gathered.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in inputs]
+    schema = T.StructType([*kept, *fields])
+    own = [f.name for f in fields]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = []
+
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                waiting.append(batch)
+                yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+        out: list = []
+        for row in replay(each()):
+            out.append(row)
+            if len(out) == waiting[0].num_rows:
+                yield from emit(waiting.pop(0), out)
+                out = []
+
+    def emit(batch: pa.RecordBatch, out: list) -> Iterator[pa.RecordBatch]:
+        made = pa.RecordBatch.from_pylist([dict(zip(own, row, strict=True)) for row in out], schema=arrow)
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made.columns], [*[f.name for f in kept], *own])
 
-    return events.groupBy(task).applyInPandas(replay, schema)
+    arrow = pa.schema([(f.name, pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.string()) for f in fields])
+    return rows.repartition(key).sortWithinPartitions(key, *[F.asc_nulls_last(c) for c in order]).mapInArrow(run, schema)
 
 
 def reservations(requests: DataFrame, user: str, order: list[str]) -> DataFrame:
@@ -92,15 +121,13 @@ def reservations(requests: DataFrame, user: str, order: list[str]) -> DataFrame:
     A reservation is blocked where what is available is less than required, and named
     already_reserved or finalized when its operation holds or has released one.
     """
-    columns = [user, *order, "outcome", "available"]
-    schema = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in columns[:-2]) + ", outcome string, available double"
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        held: dict = {}
-        over: set = set()
-        available, out = float(pdf["balance"].iloc[0]), []
-        for operation, kind, required in zip(pdf["operation"], pdf["kind"], pdf["required"], strict=True):
+    def replay(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, held, over, available = None, {}, set(), 0.0
+        for row in rows:
+            name, (operation, kind, required, balance) = row[0], row[-4:]
+            required, balance = (math.nan if x is None else float(x) for x in (required, balance))
+            if last is None or name != last[0]:
+                last, held, over, available = (name,), {}, set(), balance
             if operation in over:
                 outcome = "finalized"
             elif kind == "release":
@@ -112,12 +139,13 @@ def reservations(requests: DataFrame, user: str, order: list[str]) -> DataFrame:
             elif available < required:
                 outcome = "blocked"
             else:
-                outcome, held[operation] = "reserved", float(required)
-                available -= float(required)
-            out.append((outcome, available))
-        return pdf.assign(outcome=[o for o, _ in out], available=[a for _, a in out])[columns]
+                outcome, held[operation] = "reserved", required
+                available -= required
+            yield outcome, None if math.isnan(available) else available
 
-    return requests.groupBy(user).applyInPandas(replay, schema)
+    inputs = ["operation", "kind", "required", "balance"]
+    rows = requests.select(user, *order, *[F.col(c).alias(f"_{c}") for c in inputs])
+    return _replayed(rows, user, order, replay, [T.StructField("outcome", T.StringType()), T.StructField("available", T.DoubleType())], [f"_{c}" for c in inputs])
 
 
 def grants(rows: DataFrame, user: str, grant: str) -> DataFrame:
