@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import spread
+
 
 def interval_overlap(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
     """Pairs with equal ``on`` whose closed integer intervals overlap.
@@ -71,10 +73,9 @@ def similar_titles(rows: DataFrame, group: list[str], left: str, right: str, tit
     Titles are compared once in a group, so a pair of rows costs no more than its join. The rows are few beside
     their pairs, so they are spread by number: partitions of a size that Spark aims at would put all pairs into few tasks.
     """
-    spark = rows.sparkSession
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    n = spread(rows.sparkSession)
     titles = rows.select(*group, title).distinct()
     similar = titles.join(titles.withColumnRenamed(title, "_other"), group).withColumn("similarity", title_similarity(F.col(title), F.col("_other"))).filter(F.col("similarity") >= least)
-    met = rows.join(similar, [*group, title]).select(*group, left, "_other", "similarity").repartition(spread, *group, "_other")
-    others = rows.select(*group, F.col(left).alias(right), F.col(title).alias("_other")).repartition(spread, *group, "_other")
+    met = rows.join(similar, [*group, title]).select(*group, left, "_other", "similarity").repartition(n, *group, "_other")
+    others = rows.select(*group, F.col(left).alias(right), F.col(title).alias("_other")).repartition(n, *group, "_other")
     return met.join(others, [*group, "_other"]).filter(F.col(left) < F.col(right)).select(left, right, "similarity")
