@@ -57,6 +57,5 @@ def document_decisions(documents: DataFrame, sections: DataFrame, key: list[str]
 def chapter_matrix(decisions: DataFrame, document: str, chapter: str, chapters: list) -> DataFrame:
     """A row a document: its probability in each chapter (0 where it has none), how many find it useful, and the best one."""
     best = F.max_by(chapter, F.struct("probability", (-F.col(chapter)).alias("_first")))
-    summary = decisions.groupBy(document).agg(F.count_if("useful").alias("n_useful"), best.alias("best_chapter"))
-    wide = decisions.groupBy(document).pivot(chapter, chapters).agg(F.max("probability"))
-    return summary.join(wide.select(document, *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"chapter_{c}") for c in chapters]), document)
+    own = [F.coalesce(F.max(F.when(F.col(chapter) == c, F.col("probability"))), F.lit(0.0)).alias(f"chapter_{c}") for c in chapters]
+    return decisions.groupBy(document).agg(F.count_if("useful").alias("n_useful"), best.alias("best_chapter"), *own)
