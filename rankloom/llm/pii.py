@@ -6,8 +6,8 @@ import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.workspace import Workspace
@@ -154,11 +154,14 @@ def _trees(model) -> list[tuple[float, object]]:
     return [(w, t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)]
 
 
-def _tree_sql(node, features: str) -> str:
+def _tree_sql(node, features: str, cuts: list[tuple[int, float]]) -> str:
     if node.subtreeDepth() == 0:
         return f"{node.prediction()!r}D"
-    split = node.split()
-    return f"if({features}[{split.featureIndex()}] <= {split.threshold()!r}D, {_tree_sql(node.leftChild(), features)}, {_tree_sql(node.rightChild(), features)})"
+    place, cut = cuts[node.split().featureIndex()]
+    above, other = node.rightChild(), node.leftChild()
+    if 1.0 in node.split().leftCategories():
+        above, other = other, above
+    return f"if({features}[{place}] <= {cut!r}D, {_tree_sql(other, features, cuts)}, {_tree_sql(above, features, cuts)})"
 
 
 @dataclass(frozen=True)
@@ -179,32 +182,54 @@ class Scorer:
         return f"if({_word(_word(OPEN, 'kind', f'{c}.kind'), 'features', f'{c}.features')}, {of('*')}, {of('')})"
 
 
-def train_scorer(candidates: DataFrame, sample: int = 20_000, precision: float = 0.9, rounds: int = 12, depth: int = 3) -> Scorer:
-    """Fit trees and thresholds on about ``sample`` candidates (column of arrays as from the generators) and the seeds.
+def _training_rows(candidates: DataFrame, seed_weight: int) -> DataFrame:
+    """All candidates that a base rule settles, equal ones as one row with their number ``n``, and the seeds.
+
+    A seed weighs as much as every ``seed_weight``-th part of the candidates, one at least, so that seeds count the same at any size.
+    """
+    flat = candidates.select(F.explode("candidates").alias("c"))
+    flat = flat.select("c.kind", "c.features", F.col("c.base").cast("double").alias("label"), F.pmod(F.shiftright(F.xxhash64("c"), 32), F.lit(2)).alias("half"))
+    given = flat.filter(f"not {OPEN}").groupBy("kind", "features", "label", "half").agg(F.count("*").cast("double").alias("n"))
+    total = candidates.select(F.sum(F.size("candidates"))).first()[0] or 0
+    return given.unionByName(_seed_rows(candidates.sparkSession).withColumn("n", F.lit(max(1.0, total / seed_weight))))
+
+
+def _cuts(rows: DataFrame, bins: int = 32) -> list[tuple[int, float]]:
+    """(place of a feature, value) of every split the trees may make: each value but the last, or the bounds of ``bins`` shares of all rows where there are more values."""
+    values = rows.select("n", F.posexplode("features").alias("place", "value")).groupBy("place", "value").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("place")
+    upto = F.sum("n").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.withColumns({"share": F.ceil(bins * upto / F.sum("n").over(own)), "values": F.count("*").over(own)})
+    after = F.lead("share").over(own.orderBy("value"))
+    chosen = values.withColumn("after", after).filter(F.col("after").isNotNull() & ((F.col("values") <= bins) | (F.col("after") != F.col("share"))))
+    return sorted((r.place, r.value) for r in chosen.select("place", "value").collect())  # some hundreds at most
+
+
+def train_scorer(candidates: DataFrame, precision: float = 0.9, rounds: int = 12, depth: int = 3, seed_weight: int = 20_000) -> Scorer:
+    """Fit trees and thresholds on all candidates (column of arrays as from the generators) and the seeds.
 
     A candidate's label is whether its base rule accepts it, which the features
     don't show; forms that no base rule settles are labelled by the seeds alone.  Half of
     both fits the trees; on the other half each kind, and apart from it its open
     forms, gets the least threshold, in hundredths, above which ``precision`` of the candidates have
     the label (0.5 where no half tells, 1.01 - none - where no
-    threshold reaches it).  Candidates are drawn by a hash of their features and place, so
-    the model is the same on every run.
+    threshold reaches it).  Halves are by a hash of a candidate's features and place.  Candidates of equal features
+    are one row with their number as weight, so no candidate is left out; splits are
+    features of their own, below or above a cut, since the library draws a sample to choose them itself.
     """
     spark = candidates.sparkSession
-    flat = candidates.select(F.explode("candidates").alias("c"))
-    n = candidates.select(F.sum(F.size("candidates"))).first()[0] or 0
-    flat = flat.select("c.kind", "c.features", F.col("c.base").cast("double").alias("label"), F.xxhash64("c").alias("draw"))
-    flat = flat.filter(F.pmod("draw", F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))) + 1)
-    half = F.pmod(F.shiftright("draw", 32), F.lit(2))
-    seeds = _seed_rows(spark)
     ws = Workspace(spark, "pii-train")
-    rows = ws.save(flat.filter(f"not {OPEN}").select("kind", "features", "label", half.alias("half")).unionByName(seeds).repartition(4))
-    unrolled = rows.select("kind", "half", "label", "features", *[F.col("features")[i].alias(name + "_f") for i, name in enumerate(FEATURES)])
-    assembled = VectorAssembler(inputCols=[f"{x}_f" for x in FEATURES], outputCol="vector").transform(unrolled)
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=7).fit(assembled.filter("half = 0"))
-    scorer = Scorer(" + ".join(f"{w!r}D * {_tree_sql(root, 'FEATURES')}" for w, root in _trees(model)), {})
-    scored = rows.filter("half = 1").select(F.expr(f"if({OPEN}, kind || '*', kind)").alias("kind"), "label", F.expr(f"int(floor(100 * {scorer.score('features')}))").alias("bin"))
-    bins = scored.groupBy("kind", "bin").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect()
+    rows = ws.save(_training_rows(candidates, seed_weight))
+    fitted = rows.filter("half = 0")
+    cuts = _cuts(fitted)
+    above = F.array(*[F.expr(f"double(features[{place}] > {cut!r}D)") for place, cut in cuts])
+    given = fitted.groupBy(above.alias("above"), "label").agg(F.sum("n").alias("n")).repartition(4, "above").sortWithinPartitions("above", "label")
+    binary = {"ml_attr": {"attrs": {"binary": [{"idx": i, "name": f"above{i}"} for i in range(len(cuts))]}, "num_attrs": len(cuts)}}
+    vectors = ws.save(given).select(array_to_vector("above").alias("vector", metadata=binary), "label", "n")
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="n", maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=7).fit(vectors)
+    scorer = Scorer(" + ".join(f"{w!r}D * {_tree_sql(root, 'FEATURES', cuts)}" for w, root in _trees(model)), {})
+    scored = rows.filter("half = 1").select(F.expr(f"if({OPEN}, kind || '*', kind)").alias("kind"), "label", "n", F.expr(f"int(floor(100 * {scorer.score('features')}))").alias("bin"))
+    bins = scored.groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("n").alias("n")).collect()
     thresholds = {}
     for kind in [k + star for k in KINDS for star in ("", "*")]:
         own = [r for r in bins if r["kind"] == kind]
@@ -224,7 +249,7 @@ def find_pii(docs: DataFrame, scorer: Scorer | None = None, text_col: str = "tex
     its kind's base rule accepts it, or if the trees' score reaches the kind's
     threshold and no base span of the kind overlaps it.  Without ``scorer`` one is
     trained on ``docs``.  All work stays in the row: nothing is shuffled but the
-    bounded training sample.
+    numbers of equal candidates for training.
 
     Null and empty texts have no spans.  A column of ``docs`` already named ``out`` is replaced.
     """

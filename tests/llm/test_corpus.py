@@ -108,6 +108,19 @@ def test_pii_trees_add_what_looks_alike(spark):
     assert found[1002] == [] and found[1003] == []
 
 
+def test_pii_trees_and_thresholds_are_of_all_candidates(spark, monkeypatch):
+    features = f"transform(sequence(1, {len(pii.FEATURES)}), i -> if(i = 1, 1D, double(id * i % 7)))"
+    candidate = f"named_struct('kind', 'email', 'start', int(id), 'end', int(id + 9), 'base', id % 7 > 2, 'features', {features})"
+    candidates = spark.range(40_000).filter("id * 12 % 7 > 0").selectExpr(f"array({candidate}) as candidates")
+    n = candidates.count()
+    weighed, fit = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, df: (weighed.append(df.agg(F.sum("n") if "n" in df.columns else F.count("*")).first()[0]), fit(self, df))[1])
+    pii.train_scorer(candidates)
+    half = F.pmod(F.shiftright(F.xxhash64("c"), 32), F.lit(2))
+    seeds = pii._seed_rows(spark).filter("half = 0").count() * n / 20_000
+    assert abs(weighed[0] - candidates.select(F.explode("candidates").alias("c")).filter(half == 0).count() - seeds) < 1e-6
+
+
 def test_pii_of_a_text_with_many_spans(spark):
     rng = random.Random(8)
     kinds = ["ann%d@example.org", "10.0.3.%d", "call +1 (613) 555-%04d", "pay 4111 1111 1111 1111 é %d", "(613) 555-%04d", "bob%d[at]example[dot]com"]
