@@ -9,7 +9,6 @@ from ..functions import scores
 from ..functions.text import MARKED, PLAIN, STOP_WORDS
 from ..functions.vectors import cosine, top_mean
 from ..operators import retrieval as R
-from ..operators.joins import against_all
 from ..operators.ranking import authority
 from .base import query, table
 
@@ -81,9 +80,8 @@ def lane_overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    scored = against_all(vectors, asked, "query_id").select("query_id", "vec_id", F.round(cosine(F.col("asked"), F.col("embedding")), 6).alias("score"))
-    return R.ranked(scored, ["query_id"], "score", ["vec_id"], 10)
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.cosine_best(vectors, asked, "vec_id", "query_id", "embedding", 10)
 
 
 _FACETS = "f as (select label as facet, list(v order by i) as center from (select label, i, avg(embedding[i]::double) as v from embeddings, range(1, 65) r(i) group by all) group by 1), s as (select vec_id, list(round(greatest(list_dot_product(embedding::double[], center) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(center, center)), 0), 6) order by facet) as scores from embeddings, f group by vec_id)"
