@@ -261,3 +261,19 @@ def test_tokens_equal_the_library(spark, library):
     texts = ["", " ", "  a", "a\n\n b  c \t", "don't we'll 'S", "\x1c\x85　x", "x<|endoftext|>y", "é" * 500, "9" * 5000, LONG[:400_000:7]] + ["".join(rng.choice("ab é'\n\t9. Ωß中") for _ in range(200)) for _ in range(200)]
     for t in texts:
         assert coder(t).tolist() == [*library.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_packing_cuts_runs_of_blanks_as_the_library_does():
+    """No text without special strings goes the slower way, and all have the library's ids."""
+    coder, plain = packing.Coder(open(JSON).read()), Tokenizer.from_file(JSON)
+    plain.no_truncation(), plain.no_padding()
+    rng = random.Random(3)
+    blanks = [" ", "  ", "\n", "\n\n", " \t", "\x1c", "\x1f\x1f", "\x85\u2003", "\u3000 ", "\u200b", "\xa0\xa0", "\ufeff "]
+    some = [*blanks, "word", "don't", "'s", "42", "...", "é", "\U0001f600", "Ωmega", "\x00"]
+    random_texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    special = [t + "  <|endoftext|>  " + t for t in random_texts[:200]]
+    for text in special:
+        assert coder(text)[:-1].tolist() == plain.encode(text, add_special_tokens=False).ids
+    coder.encoding = None
+    for text in ["", " ", "   ", "a  b", *random_texts]:
+        assert coder(text)[:-1].tolist() == plain.encode(text, add_special_tokens=False).ids
