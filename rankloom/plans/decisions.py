@@ -9,6 +9,7 @@ from ..functions import scores
 from ..operators import evaluation as E
 from ..operators import decisions as D
 from ..operators.retrieval import ranked
+from ..operators.workspace import dealt
 from .base import query, table
 
 
@@ -43,6 +44,7 @@ DECISIONS = """
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("chapter", F.col("l_suppkey") % 4).withColumnRenamed("l_orderkey", "doc")
+    lines = dealt(lines, "chapter", "doc")
     sections = lines.filter("l_quantity > 8").select("chapter", "doc", (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("section"), (F.col("l_quantity") * 2).alias("score"), (F.col("l_discount") * 10).alias("support"), (F.col("l_returnflag") != "A").alias("type_ok"))
     return D.document_decisions(lines.select("chapter", "doc").distinct(), sections, ["chapter", "doc"], D.PRODUCTION)
 

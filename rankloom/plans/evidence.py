@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
+from ..operators.workspace import dealt
 from .base import query, table
 
 
@@ -57,6 +58,7 @@ def plan_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def doc_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chapter"), F.col("l_orderkey").alias("doc"), "l_quantity", "l_extendedprice", "l_returnflag")
+    lines = dealt(lines, "chapter", "doc")
     docs = lines.groupBy("chapter", "doc").agg(F.sum("l_quantity").alias("score"))
     fused = lines.filter("l_returnflag = 'R'").select("chapter", "doc", (F.col("l_extendedprice") / 1000).alias("fused"))
     return E.rescue_documents(docs, fused, "chapter", "doc", 5).withColumn("rescue", F.round("rescue", 8))
