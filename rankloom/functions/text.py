@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ SECTION_TYPES = {
 ENGLISH_WORDS, GERMAN_WORDS = ["the", "and", "of", "is", "for", "with"], ["der", "die", "das", "und", "mit", "nicht"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def or_empty(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
@@ -68,8 +74,7 @@ def count_chunks(x: Column) -> Column:
 
 def ascii_fold(x: Column) -> Column:
     """Marked Latin letters without their marks; any other character beyond ASCII goes."""
-    folded = F.translate(or_empty(x), MARKED, PLAIN)
-    return F.regexp_replace(folded, "[^\\x00-\\x7F]", "")
+    return let(or_empty(x), lambda t: F.when(F.octet_length(t) > F.length(t), F.regexp_replace(F.translate(t, MARKED, PLAIN), "[^\\x00-\\x7F]", "")).otherwise(t))
 
 
 def tokens(x: Column) -> Column:
@@ -128,11 +133,14 @@ def heading_key(title: Column) -> Column:
 
 
 def section_type(title: Column) -> Column:
-    key = heading_key(title)
-    out = F
-    for name, keys in SECTION_TYPES.items():
-        out = out.when(key.rlike(f"^({keys})$"), name)
-    return out.otherwise("body_other")
+
+    def of(key: Column) -> Column:
+        out = F
+        for name, keys in SECTION_TYPES.items():
+            out = out.when(key.rlike(f"^({keys})$"), name)
+        return out.otherwise("body_other")
+
+    return let(heading_key(title), of)
 
 
 def language_guess(x: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .joins import title_similarity as jaccard
 from .structure import sequence_ratio
+from .workspace import Workspace
 
 #: Sources of headings and which goes before which.
 PRIORITIES = {"outline": 100, "summary": 90, "layout": 80, "numbered_gap_fill": 76, "structural_gap_fill": 74, "recovery": 70, "heuristic": 60}
@@ -50,38 +51,50 @@ def _body(x: Column) -> Column:
 
 def looks_like_heading(x: Column, body: Column | None = None) -> Column:
     """Up to 18 words and 160 characters without a sentence's end, half of them capitalised, or numbered, in capitals or of a known kind."""
-    x = display(x)
-    n = _words(x)
-    shape = (n >= 1) & (n <= 18) & (F.length(x) <= 160) & ((T.alnum_ratio(x) >= 0.5) | x.rlike(NUMBERED)) & ~(F.endswith(x, F.lit(".")) & (n > 6))
-    return shape & (_half_capital(x) | x.rlike(NUMBERED) | (_is_upper(x) & (n <= 8)) | ~(_body(x) if body is None else body))
+
+    def of(x: Column) -> Column:
+        n = _words(x)
+        shape = (n >= 1) & (n <= 18) & (F.length(x) <= 160) & ((T.alnum_ratio(x) >= 0.5) | x.rlike(NUMBERED)) & ~(F.endswith(x, F.lit(".")) & (n > 6))
+        return shape & (_half_capital(x) | x.rlike(NUMBERED) | (_is_upper(x) & (n <= 8)) | ~(_body(x) if body is None else body))
+
+    return T.let(display(x), of)
 
 
 def variants(block: Column) -> Column:
     """What a heading in a block of text may be: all of it, its first lines, what stands before a full stop or a colon, without numbering too."""
-    raw = F.trim(T.or_empty(block))
-    lines = F.filter(F.transform(F.split(raw, "\\n+"), display), lambda x: x != "")
-    said = display(raw)
-    before_stop = display(F.regexp_extract(said, "^(.{4,180}?)\\.\\s+[A-Z]", 1))
-    n = _words(before_stop)
-    prefix = F.when((n >= 2) & (n <= 24) | (n == 1) & (_is_upper(before_stop) | ~_body(before_stop)), before_stop)
-    head = display(F.substring_index(said, ":", 1))
-    m = _words(head)
-    colon = F.when(F.contains(said, F.lit(":")) & (m >= 2) & (m <= 12) & ~F.endswith(head, F.lit(".")) & (head.rlike(NUMBERED) | _is_upper(head) | _half_capital(head)), head)
-    listed = F.concat(F.array(raw), F.slice(lines, 1, _LEAST_LINES), F.array(prefix, F.when(prefix.isNotNull(), T.strip_numbering(prefix)), colon, F.when(colon.isNotNull(), T.strip_numbering(colon))))
-    return F.array_distinct(F.filter(listed, lambda v: v.isNotNull() & (v != "")))
-
-
-def _with_similarity(pairs: DataFrame, a: str, b: str, out: str, least: float) -> DataFrame:
+
+    def of_stop(stop: Column) -> Column:
+        n = _words(stop)
+        return F.when((n >= 2) & (n <= 24) | (n == 1) & (_is_upper(stop) | ~_body(stop)), stop)
+
+    def of_head(head: Column) -> Column:
+        m = _words(head)
+        return F.when((m >= 2) & (m <= 12) & ~F.endswith(head, F.lit(".")) & (head.rlike(NUMBERED) | _is_upper(head) | _half_capital(head)), head)
+
+    def of_line(said: Column) -> Column:
+        before_stop = display(F.regexp_extract(said, "^(.{4,180}?)\\.\\s+[A-Z]", 1))
+        head = F.when(F.contains(said, F.lit(":")), display(F.substring_index(said, ":", 1)))
+        bare = lambda v: F.array(v, F.when(v.isNotNull(), T.strip_numbering(v)))
+        return F.concat(T.let(T.let(before_stop, of_stop), bare), T.let(T.let(head, of_head), bare))
+
+    def of(raw: Column) -> Column:
+        lines = F.filter(F.transform(F.split(raw, "\\n+"), display), lambda x: x != "")
+        return F.concat(F.array(raw), F.slice(lines, 1, _LEAST_LINES), T.let(display(raw), of_line))
+
+    return F.array_distinct(F.filter(T.let(F.trim(T.or_empty(block)), of), lambda v: v.isNotNull() & (v != "")))
+
+
+def _with_similarity(pairs: DataFrame, a: str, b: str, out: str, least: float | Column) -> DataFrame:
     """``pairs`` with the similarity of two keys: 1 if equal, else the larger of word overlap and character ratio.
 
     The ratio is at most 2 * shorter / (both lengths), so only pairs that could reach ``least`` by it, and do
-    not yet by their words, go to Python; equal pairs go once.
+    not yet by their words, go to Python; equal pairs go once. The pairs are saved first, as both sides of a join need them.
     """
     shorter = F.least(F.length(a), F.length(b))
     bound = F.coalesce(F.try_divide(2 * shorter, F.length(a) + F.length(b)), F.lit(0.0))
     words = F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).when(F.col(a) == F.col(b), 1.0).otherwise(jaccard(F.col(a), F.col(b)))
-    known = pairs.withColumn("_words", words)
-    open_ = known.filter((F.col("_words") < 1) & (F.col("_words") < bound) & (bound >= least)).select(a, b).distinct()
+    known = Workspace(pairs.sparkSession, "similar").save(pairs.withColumn("_words", words))
+    open_ = known.filter((bound >= least) & (F.col("_words") < 1) & (F.col("_words") < bound)).select(a, b).distinct()
     ratios = open_.withColumn("_ratio", sequence_ratio(F.col(a), F.col(b)))
     return known.join(ratios, [a, b], "left").withColumn(out, F.greatest("_words", F.coalesce("_ratio", F.lit(0.0)))).drop("_words", "_ratio")
 
@@ -93,11 +106,12 @@ def anchor_scores(pairs: DataFrame, title: str = "title", said: str = "said", ou
     Similarities that can't reach ``least`` are left at the words' overlap. A blank title scores 0.
     """
     texts = pairs.select(title, said).distinct()
-    each = texts.select(title, said, F.explode_outer(variants(F.col(said))).alias("_v"))
-    each = each.withColumns({"_a": full_key(F.col(title)), "_la": loose_key(F.col(title)), "_b": full_key(F.col("_v")), "_lb": loose_key(F.col("_v"))})
+    keyed = texts.select(title, said, full_key(F.col(title)).alias("_a"), loose_key(F.col(title)).alias("_la"))
+    each = keyed.select(title, said, "_a", "_la", F.explode_outer(variants(F.col(said))).alias("_v"))
+    each = each.withColumns({"_b": full_key(F.col("_v")), "_lb": loose_key(F.col("_v"))})
     starts = F.startswith("_b", "_a") | F.startswith("_a", "_b") | F.startswith("_lb", "_la") | F.startswith("_la", "_lb")
     exact = F.when((F.col("_a") == "") | (F.coalesce("_b", F.lit("")) == ""), 0.0).when(F.col("_a") == F.col("_b"), 1.0).when(F.col("_la") == F.col("_lb"), 0.99).when(starts, 0.93)
-    each = each.withColumn("_exact", exact)
+    each = Workspace(pairs.sparkSession, "variants").save(each).withColumn("_exact", exact)
     best = _with_similarity(each.filter("_exact is null"), "_la", "_lb", "_exact2", least).select(title, said, F.col("_exact2").alias("_s"))
     scored = each.filter("_exact is not null").select(title, said, F.col("_exact").alias("_s")).union(best).groupBy(title, said).agg(F.max("_s").alias("_s"))
     first_line = F.get(F.filter(F.transform(F.split(F.col(said), "\\n+"), display), lambda x: x != ""), F.lit(0))
@@ -115,19 +129,24 @@ def repaired_titles(proposals: DataFrame, key: str, title: str = "title", said:
     begins with the title and has more words (.12 more); a new colon is worth .03. Variants that only cut the title
     short are out, and outlines keep theirs. Ties go to the variant that comes first.
     """
-    rows = proposals.select(key, display(F.col(title)).alias("_t"), F.posexplode(variants(F.col(said))).alias("_at", "_v"), F.col(source).alias("_source"))
-    rows = rows.withColumn("_v", display(F.col("_v"))).withColumns({"_a": full_key(F.col("_t")), "_b": full_key(F.col("_v")), "_la": loose_key(F.col("_t")), "_lb": loose_key(F.col("_v"))})
+    ws = Workspace(proposals.sparkSession, "titles")
+    proposals = ws.save(proposals)
+    titles = proposals.select(key, display(F.col(title)).alias("_t"), said, F.col(source).alias("_source")).withColumns({"_a": full_key(F.col("_t")), "_la": loose_key(F.col("_t"))})
+    rows = titles.select(key, "_t", "_a", "_la", "_source", F.posexplode(variants(F.col(said))).alias("_at", "_v"))
+    rows = rows.withColumn("_v", display(F.col("_v"))).withColumns({"_b": full_key(F.col("_v")), "_lb": loose_key(F.col("_v"))})
+    rows = ws.save(rows)  # else every key is computed anew wherever it is named
     upgrade = F.startswith("_b", "_a") & (_words(F.col("_v")) > _words(F.col("_t"))) & (F.length("_v") > F.length("_t"))
     shorter = (_words(F.col("_v")) < _words(F.col("_t"))) & (F.startswith("_a", "_b") | F.startswith("_la", "_lb"))
-    fit = (F.col("_t") != "") & ~F.startswith("_source", F.lit("outline")) & (F.col("_v") != F.col("_t")) & (F.col("_b") != "") & looks_like_heading(F.col("_v")) & ~F.col("_v").rlike(CAPTION) & ~shorter
-    near = _with_similarity(rows.filter(fit).withColumn("_upgrade", upgrade), "_a", "_b", "_s", 0.0)
+    fit = (F.col("_t") != "") & ~F.startswith("_source", F.lit("outline")) & (F.col("_v") != F.col("_t")) & (F.col("_b") != "") & ~shorter & looks_like_heading(F.col("_v")) & ~F.col("_v").rlike(CAPTION)
+    # a ratio counts where the variant may replace the title by it, or adds to it as an upgrade's score
+    near = _with_similarity(rows.filter(fit).withColumn("_upgrade", upgrade), "_a", "_b", "_s", F.when(F.col("_upgrade"), 0.0).otherwise(least))
     kept = near.filter(F.col("_upgrade") | (F.col("_s") >= least))
     colon = F.contains("_v", F.lit(":")) & ~F.contains("_t", F.lit(":"))
     scored = kept.withColumn("_score", F.col("_s") + F.when(F.col("_upgrade"), 0.12).otherwise(0.0) + F.when(colon, 0.03).otherwise(0.0))
     best = scored.groupBy(key).agg(F.max_by(F.struct("_v", "_score", "_t"), F.struct("_score", -F.col("_at"))).alias("_best"))
     joined = proposals.join(best, key, "left")
     changed = F.col("_best").isNotNull()
-    return joined.withColumns({"original_title": F.when(changed, F.col("_best._t")), "repair_score": F.round("_best._score", 3), title: F.when(changed, F.col("_best._v")).otherwise(display(F.col(title)))}).drop("_best")
+    return ws.save(joined.withColumns({"original_title": F.when(changed, F.col("_best._t")), "repair_score": F.round("_best._score", 3), title: F.when(changed, F.col("_best._v")).otherwise(display(F.col(title)))}).drop("_best"))
 
 
 def heuristic_proposals(blocks: DataFrame, doc: str, block: str, said: str) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let as _let
 from ..functions.text import or_empty
 
 FACETS = "array<struct<facet_id:string,facet_label_en:string,facet_group:string,query_family_preference:string,authority_role:string,language_strategy:string,importance_weight:int>>"
@@ -35,11 +34,6 @@ WORDING = {"core": ("Core", "Kern", "core authority", "Tight authority coverage
 MOST_BLUEPRINTS = MOST_TARGETS = 4
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
