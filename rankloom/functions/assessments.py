@@ -77,7 +77,8 @@ def _composed(x: pd.Series) -> pd.Series:
 
 def composed(x: Column) -> Column:
     """Compatibility forms composed; plain ASCII never leaves the JVM's path."""
-    return F.when(x.rlike("[^\\x00-\\x7F]"), _composed(x)).otherwise(x)
+    marked = F.octet_length(x) > F.length(x)
+    return F.when(marked, _composed(F.when(marked, x))).otherwise(x)
 
 
 def normalize_query_text(x: Column) -> Column:

@@ -156,9 +156,9 @@ _FORM = "replace(regexp_replace(regexp_replace(lower(w), '^[\"''()\\[\\]{}<>.,;:
 """)
 def anchor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = F.split(A.single_blanks(F.col("text")), " ")
+    said, words = A.single_blanks(F.col("text")), F.col("words")
     part = lambda w, first, n: F.array_join(F.slice(w, first, n), " ")
-    others = docs.select((F.col("doc_id") - 1).alias("doc_id"), part(words, 2, 8).alias("other"))
+    others = docs.select((F.col("doc_id") - 1).alias("doc_id"), part(F.split(said, " "), 2, 8).alias("other"))
     kind = F.col("doc_id") % 5
     anchor = (
         F.when(kind == 0, F.concat(F.lit("“"), F.lower(part(words, 4, 8)), F.lit("”")))
@@ -167,9 +167,11 @@ def anchor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.coalesce("other", F.lit("")))
         .otherwise(F.concat(F.lit("("), F.replace(part(words, 5, 12), F.lit(" "), F.lit("  ")), F.lit(");")))
     )
-    found = docs.join(others, "doc_id", "left").withColumn("v", A.validate_anchor(F.trim(anchor), F.col("text"), 6, 14))
-    left, size = A.expanded(F.col("v.start"), F.col("v.n"), F.size(words))
+    # columns of their own, so that a text is normalised and split once
+    found = docs.join(others, "doc_id", "left").withColumn("said", said).withColumn("words", F.split("said", " ")).withColumn("anchor", F.trim(anchor)).withColumn("total", F.size("words")).drop("words")
+    found = found.withColumn("v", A.validate_anchor(F.col("anchor"), F.col("said"), 6, 14))
+    left, size = A.expanded(F.col("v.start"), F.col("v.n"), F.col("total"))
     found = found.withColumns({"span_start": left, "span_words": size})
     place = A.place_of_words(F.col("text"), F.col("span_start"), F.col("span_words"))
-    found = found.withColumn("place", place).withColumn("alternative", A.shorter_anchor(F.col("text"), F.col("v.start"), F.col("v.n")))
+    found = found.withColumn("place", place).withColumn("alternative", A.shorter_anchor(F.col("said"), F.col("v.start"), F.col("v.n")))
     return found.select("doc_id", "v.reason", "v.ok", "v.text", "span_start", "span_words", F.col("place.start").alias("char_start"), F.col("place.end").alias("char_end"), "alternative")
