@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.assessments import is_bridge_term, is_bridge_title
+from .workspace import Workspace
 
 SNIPPET_TYPES = ["abstract", "introduction", "discussion", "conclusion", "results", "body_other"]
 
@@ -49,15 +50,19 @@ def inventory_titles(inventory: DataFrame) -> DataFrame:
 def term_support(terms: DataFrame, sections: DataFrame, doc: str, section: str) -> DataFrame:
     """(term, section_hits, doc_hits, title_hits, text_hits, example_titles) of each term (key: its normalised form), as whole words.
 
-    A section's words meet the first words of the terms, a shuffle join on the word unless Spark finds the terms small;
-    the rest of a term is compared there. A section counts once a term, in its title and in its text.
+    Each place of a section's words goes with as many words as the longest term has, not with the whole text; these windows meet the first words of
+    the terms, a shuffle join on the word unless Spark finds the terms small. A section counts once a term, in its title and in its text.
     """
-    wanted = terms.select("term", T.normalize_title(F.col("term")).alias("key")).filter("key <> ''").distinct().withColumn("word", F.substring_index("key", " ", 1))
+    ws = Workspace(terms.sparkSession, "terms")
+    wanted = ws.save(terms.select("term", T.normalize_title(F.col("term")).alias("key")).filter("key <> ''").distinct().withColumn("word", F.substring_index("key", " ", 1)))
+    longest = wanted.agg(F.max(F.size(F.split("key", " ")))).first()[0] or 1
     said = sections.select(doc, section, T.clean_text(F.col("title")).alias("shown"), F.explode(F.array(F.struct(F.lit(True).alias("in_title"), T.normalize_title(F.col("title")).alias("said")), F.struct(F.lit(False).alias("in_title"), T.normalize_title(F.col("text")).alias("said")))).alias("part"))
-    split = said.select(doc, section, "shown", "part.in_title", F.col("part.said").alias("said"), F.explode(F.array_distinct(F.split("part.said", " "))).alias("word"))
-    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    met = split.join(wanted, "word").filter(F.contains(pad("said"), pad("key")))
-    each = met.groupBy("term", doc, section).agg(F.bool_or("in_title").alias("titled"), F.bool_or(~F.col("in_title")).alias("texted"), F.first("shown").alias("shown"))
+    windows = lambda w: F.array_distinct(F.transform(w, lambda _, i: F.array_join(F.slice(w, i + 1, longest), " ")))
+    split = said.select(doc, section, "shown", "part.in_title", F.explode(T.let(F.split("part.said", " "), windows)).alias("window")).withColumn("word", F.substring_index("window", " ", 1))
+    pad = lambda c: F.concat(F.col(c), F.lit(" "))
+    met = split.join(wanted, "word").filter(F.startswith(pad("window"), pad("key")))
+    # read twice below; saved, so that the texts are read once
+    each = ws.save(met.groupBy("term", doc, section).agg(F.bool_or("in_title").alias("titled"), F.bool_or(~F.col("in_title")).alias("texted"), F.first("shown").alias("shown")))
     counted = each.groupBy("term").agg(F.count("*").alias("section_hits"), F.count_distinct(doc).alias("doc_hits"), F.count_if("titled").alias("title_hits"), F.count_if("texted").alias("text_hits"))
     examples = each.filter("shown <> ''").groupBy("term", "shown").agg(F.min(F.struct(doc, section)).alias("at"))
     ranked = examples.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("at", "shown"))).filter("place <= 3")
