@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .records import is_atomic_exclusion, reasons
+from .text import let
 
 TOKEN = '[+-]?"[^"]*"?|[+-]?\\(|\\)|[^\\s()"]+'
 TREE = "array<struct<text:string,kind:string,depth:int>>"
@@ -69,16 +70,20 @@ def excluded_terms(nodes: Column) -> Column:
     def leaf(t: Column) -> Column:
         return F.trim(F.regexp_replace(t.text, '^[+-]?"|"$', ""))
 
-    def of(t: Column, i: Column) -> Column:
-        after = F.get(nodes, i + 1)
-        rest = F.slice(nodes, i + 3, F.greatest(F.size(nodes) - i - 2, F.lit(0)))
-        end = F.array_position(F.transform(rest, lambda r: (r.kind == "close") & (r.depth == after.depth)), True).cast("int")
-        inside = F.slice(rest, 1, F.when(end > 0, end - 1).otherwise(F.size(rest)))
-        group = F.transform(F.filter(inside, lambda r: r.kind.isin("word", "quoted")), leaf)
-        named = F.when(after.kind == "open", group).when(after.kind.isin("word", "quoted"), F.array(leaf(after))).otherwise(F.array().cast(NO_TERMS))
-        return F.when((t.kind == "op") & (t.text == "NOT") & after.isNotNull(), named).otherwise(F.array().cast(NO_TERMS))
+    def of(nodes: Column, t: Column, i: Column) -> Column:
+        def group(after: Column) -> Column:
+            rest = F.slice(nodes, i + 3, F.greatest(F.size(nodes) - i - 2, F.lit(0)))
+            end = lambda r: F.array_position(F.transform(r, lambda x: (x.kind == "close") & (x.depth == after.depth)), True).cast("int")
+            inside = let(rest, lambda r: let(end(r), lambda e: F.slice(r, 1, F.when(e > 0, e - 1).otherwise(F.size(r)))))
+            return F.transform(F.filter(inside, lambda r: r.kind.isin("word", "quoted")), leaf)
 
-    return F.flatten(F.transform(nodes, of))
+        def named(after: Column) -> Column:
+            return F.when(after.kind == "open", group(after)).when(after.kind.isin("word", "quoted"), F.array(leaf(after))).otherwise(F.array().cast(NO_TERMS))
+
+        return F.when((t.kind == "op") & (t.text == "NOT"), let(F.get(nodes, i + 1), named)).otherwise(F.array().cast(NO_TERMS))
+
+    # else the tree would be made anew for each of its nodes
+    return let(nodes, lambda n: F.flatten(F.transform(n, lambda t, i: of(n, t, i))))
 
 
 def match_text(x: Column) -> Column:
