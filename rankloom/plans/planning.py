@@ -98,34 +98,34 @@ def plan_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, many = F.col("l_partkey"), F.col("l_quantity").cast("int")
     role = F.floor(part / 6) % F.when(F.col("l_orderkey") % 3 == 0, 2).otherwise(5)
     in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus")
-    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(in_order)).select(
-        F.col("l_orderkey").alias("plan_id"),
-        "n",
+    row = F.struct(
         F.concat("l_returnflag", "l_linestatus").alias("instruct"),
         part.alias("k"),
-        F.struct(
-            F.concat(F.lit("F"), F.col("n").cast("string")).alias("facet_id"),
-            F.concat(F.lit("due "), F.col("l_shipdate").cast("date").cast("string")).alias("facet_label_en"),
-            pick(_GROUPS, F.col("l_suppkey") % 7).alias("facet_group"),
-            pick(_FAMILIES, part % 6).alias("query_family_preference"),
-            pick(_ROLES, role).alias("authority_role"),
-            pick(_STRATEGIES, many % 5).alias("language_strategy"),
-            (many % 4).alias("importance_weight"),
-        ).alias("facet"),
+        F.concat(F.lit("due "), F.col("l_shipdate").cast("date").cast("string")).alias("facet_label_en"),
+        pick(_GROUPS, F.col("l_suppkey") % 7).alias("facet_group"),
+        pick(_FAMILIES, part % 6).alias("query_family_preference"),
+        pick(_ROLES, role).alias("authority_role"),
+        pick(_STRATEGIES, many % 5).alias("language_strategy"),
+        (many % 4).alias("importance_weight"),
     )
-    by_instruct = rows.groupBy("plan_id", "instruct").agg(F.sort_array(F.collect_list(F.struct("n", "facet"))).alias("facets"), F.sort_array(F.collect_list(F.struct("k", "n", "facet.facet_id"))).alias("targets"))
+    # an order's rows are sorted once and listed in that order, so nothing is grouped or sorted again
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.row_number().over(in_order).alias("n"), F.collect_list(row).over(whole).alias("rows")).filter("n = 1")
+    facet_id = lambda n: F.concat(F.lit("F"), (n + 1).cast("string"))
+    facet = lambda r, n: F.struct(facet_id(n).alias("facet_id"), *[r[c] for c in ("facet_label_en", "facet_group", "query_family_preference", "authority_role", "language_strategy", "importance_weight")])
+    targets = F.sort_array(F.transform("rows", lambda r, n: F.struct(r.instruct.alias("instruct"), r.k.alias("k"), n.alias("n"))))
+    listed = listed.select("plan_id", F.transform("rows", facet).alias("facets"), F.array_distinct("rows.instruct").alias("instructs"), targets.alias("targets"))
     text = F.lit(None).cast("string")
-    blueprint = F.struct(
-        F.when(F.col("instruct") == "NO", "core").when(F.col("instruct") == "RF", "booster").otherwise("x").alias("authority_kind"),
-        F.when(F.col("instruct") != "NO", F.col("instruct")).alias("label_en"),
+    blueprint = lambda instruct: F.struct(
+        F.when(instruct == "NO", "core").when(instruct == "RF", "booster").otherwise("x").alias("authority_kind"),
+        F.when(instruct != "NO", instruct).alias("label_en"),
         text.alias("label_de"),
-        F.concat(F.transform("targets", lambda t: t.facet_id), F.array(*map(F.lit, ["F1", "F2", "F9", " "]))).alias("target_facet_ids"),
+        F.concat(F.transform(F.filter("targets", lambda t: t.instruct.eqNullSafe(instruct)), lambda t: facet_id(t.n)), F.array(*map(F.lit, ["F1", "F2", "F9", " "]))).alias("target_facet_ids"),
         text.alias("language_strategy"),
         text.alias("search_breadth"),
         text.alias("notes_en"),
     ).cast(P.BLUEPRINT)
-    plans = by_instruct.groupBy("plan_id").agg(F.sort_array(F.flatten(F.collect_list("facets"))).alias("rows"), F.sort_array(F.collect_list(F.struct("instruct", blueprint.alias("b")))).alias("blueprints"))
-    plans = plans.select("plan_id", F.transform("rows", lambda r: r.facet).alias("facets"), F.transform("blueprints", lambda x: x.b).alias("authority_blueprints"))
+    plans = listed.select("plan_id", "facets", F.transform(F.sort_array("instructs"), blueprint).alias("authority_blueprints"))
     done = P.repair_plans(plans)
     line = lambda b: F.concat_ws("|", b.authority_kind, b.label_en, F.array_join(b.target_facet_ids, " "), b.language_strategy, b.search_breadth)
     return done.select("plan_id", F.array_join(F.transform("facets", lambda f: F.concat_ws(":", f.facet_id, f.query_family_preference, f.authority_role)), ",").alias("facets"), F.array_join(F.transform("authority_blueprints", line), ";").alias("blueprints"))

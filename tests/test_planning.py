@@ -101,3 +101,13 @@ def test_repair_of_nothing(spark):
     schema = f"plan long, facets {P.FACETS}, authority_blueprints array<{P.BLUEPRINT}>, repair_notes string, other string"
     row = P.repair_plans(spark.createDataFrame([(1, None, None, "x", "kept")], schema)).first()
     assert (row.facets, row.authority_blueprints, row.repair_notes, row.other) == ([], [], [], "kept")
+
+
+def test_plans_are_listed_and_repaired_behind_one_shuffle(spark):
+    """Rows of an order are sorted once and listed in that order; nothing is grouped after that."""
+    from rankloom.plans import planning
+
+    plan = planning.plan_repair(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    steps = [line.strip(" :+-*0123456789()") for line in plan.splitlines()]
+    assert sum(s.startswith("Exchange") for s in steps) == 1 and sum(s.startswith("Sort ") for s in steps) == 1
+    assert not any("Aggregate" in s.split("(")[0] for s in steps)
