@@ -403,6 +403,43 @@ def test_nearest_codes_of_few_rows(spark):
     assert hamming.nearest_codes(df.limit(0), df).isEmpty()
 
 
+def test_nearest_codes_never_broadcast_what_is_looked_up(spark, monkeypatch):
+    """One query is estimated as a few rows, however many groups it looks up."""
+    df = spark.range(60_000).selectExpr("id as vec_id", "transform(sequence(0, 63), i -> cast(shiftright(xxhash64(id), i) & 1 as double)) as embedding")
+    plans, save = [], hamming.Workspace.save
+    monkeypatch.setattr(hamming.Workspace, "save", lambda self, df: [plans.append(df._jdf.queryExecution().executedPlan().toString()), save(self, df)][1])
+    ids = df.select("vec_id", F.xxhash64("vec_id").alias("h")).toPandas().set_index("vec_id").h.to_numpy()
+    expected = sorted((int(ids[0] ^ h).bit_count() if ids[0] ^ h >= 0 else int((ids[0] ^ h) & ((1 << 63) - 1)).bit_count() + 1, i) for i, h in enumerate(ids))[:5]
+    assert [(r.distance, r.vec_id) for r in hamming.nearest_codes(df, df.filter("vec_id = 0"), k=5).orderBy("rank").collect()] == expected
+    made = [p.splitlines() for p in plans if "own" in p and "weight" in p and "BroadcastHashJoin" in p]
+    assert made
+    for lines in made:  # what stands below a broadcast is indented further
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                depth = line.index("BroadcastExchange")
+                below = next((j for j in range(i + 1, len(lines)) if len(lines[j]) - len(lines[j].lstrip(" :+-*(0123456789)")) <= depth), len(lines))
+                assert not any("MapIn" in x for x in lines[i:below])
+
+
+def test_nearest_codes_in_parts_and_chunks(spark, monkeypatch):
+    """Groups dealt to several tasks, a few candidates at once, queries with equal codes, codes of more than 64 bits."""
+    monkeypatch.setattr(hamming, "PART", 20)
+    chunk = hamming.CHUNK
+    rng = np.random.default_rng(4)
+    for dims, n in ((70, 240), (9, 240)):
+        v = rng.normal(size=(n, dims))
+        v[100:160] = v[0]
+        df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+        bits = v > 0
+        monkeypatch.setattr(hamming, "CHUNK", 5 if dims < 64 else chunk)
+        got = {}
+        for r in hamming.nearest_codes(df, df.filter("vec_id % 20 = 0"), k=4).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.vec_id))
+        for q in range(0, n, 20):
+            d = sorted((int((bits[q] != bits[i]).sum()), i) for i in range(n))[:4]
+            assert sorted(got[q]) == [(k + 1, *x) for k, x in enumerate(d)]
+
+
 # 8 chat
 
 
