@@ -1,5 +1,6 @@
 """The ten corpus operators and the pipeline against brute force, round trips and held-out accuracy."""
 
+import copy
 import hashlib
 import json
 import math
@@ -589,6 +590,96 @@ def test_lm_score_equals_a_plain_one(lm_parts, documents):
         assert math.isclose(scored["score"][text], expected / math.log(10), rel_tol=1e-3)
 
 
+@pytest.fixture(scope="module")
+def lm_divided(lm_parts):
+    """The lexicon with the network's classes of pieces inside words."""
+    lex = copy.copy(lm_parts.lexicon)
+    found = list(lm._paired(SimpleNamespace(value={"pieces": lm_parts.pieces - lex.counts[:-1]}))(lm_parts.blocks))
+    lex.divide(np.bincount(*[np.concatenate([b.column(i).to_numpy() for b in found]) for i in (0, 1)], lm.SPELLING**2).reshape(lm.SPELLING, -1))
+    return lex
+
+
+def test_lm_predicts_every_piece_once(lm_parts, lm_divided):
+    block, model = lm.Block(lm_parts.rows[0]), lm.Attention(lm_parts.pieces, lm_divided.mass)
+    ids, begins, _ = block.pieces(lm_parts.end)
+    found = list(lm._all_windows(block, model, lm_divided, np.ones(len(block.words), bool), 64))
+    inside = np.concatenate([places for *_, places in found])
+    assert sum(len(classes) for *_, classes, _, _ in found) == begins.sum() and len(inside) > 0.5 * begins.sum()
+    assert np.sort(inside).tolist() == np.flatnonzero(~begins).tolist()
+    weights = np.concatenate([given[-1] for *_, given, _ in found])
+    several = block.lengths > 1
+    assert math.isclose(weights.sum(), (block.lengths[several] - 1).sum(), rel_tol=1e-4)  # each distinct word as much as another
+
+
+def test_lm_learns_pieces_inside_words(lm_parts, lm_divided, monkeypatch):
+    """After training the network gives them more than the counts that it starts from."""
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    start = SimpleNamespace(value={"pieces": lm_parts.pieces, "mass": lm_divided.mass, "pickled": cloudpickle.dumps(lm_divided), "flat": None})
+    for _ in range(4):
+        start.value["flat"] = np.array(list(lm._trained(start)(lm_parts.blocks))[0].column("flat")[0].as_py(), np.float32)
+    losses = []
+    for flat in (None, start.value["flat"]):
+        model, loss = lm.Attention(lm_parts.pieces, lm_divided.mass, flat), 0.0
+        for row in lm_parts.rows:
+            block = lm.Block(row)
+            for _, rows, counts, classes, inside, _ in lm._all_windows(block, model, lm_divided, ~block.out, 64):
+                loss -= (model.score(rows, counts, classes, inside)[1] * inside[-1]).sum()
+        losses.append(loss)
+    assert losses[1] < 0.98 * losses[0]
+
+
+def test_lm_score_of_every_piece_equals_a_plain_one(lm_parts, lm_divided):
+    """Piece by piece, with the attention of each window written out."""
+    lex, rng = lm_divided, np.random.default_rng(5)
+    model = lm.Attention(lm_parts.pieces, lex.mass)
+    model.flat += rng.normal(0, 0.3, len(model.flat)).astype(np.float32)
+    row = lm_parts.rows[0]
+    counts = np.array([lm_parts.total[h] for h in row["hashes"]])
+    counts[:-1][rng.random(len(counts) - 1) < 0.5] = 0
+    shared = SimpleNamespace(value={"pieces": lm_parts.pieces, "pickled": cloudpickle.dumps(lex), "flat": model.flat})
+    scored = lm._scores(shared, 1000, 500)(pa.Table.from_pylist([row], lm_parts.blocks[0].schema), pa.table({"at": np.arange(len(counts)), "n": counts})).to_pydict()
+    block, w = lm.Block(row), model.w
+    pieces = np.split(block.subs, block.stops[:-1])
+    at = 0
+    for text in range(8):
+        said = block.place[at : at + row["words"][text]]
+        at += row["words"][text]
+        read = [lm.OWN - 2, *(model.row[p] for word in said for p in pieces[word])]
+
+        def state(t):
+            step = lm.WINDOW - lm.CONTEXT
+            first = 0 if t < lm.WINDOW else ((t - lm.CONTEXT) // step) * step
+            x = np.array([w["embed"][read[i]] + w["place"][i - first] for i in range(first, t + 1)])
+            q, k, v = np.split(x @ w["qkv"], 3, axis=1)
+            e = np.exp(k @ q[-1] / math.sqrt(lm.WIDTH))
+            return (e / e.sum()) @ v @ w["join"] + x[-1]
+
+        expected, t = 0.0, 0
+        for word in [*said, None]:
+            logits = state(t) @ w["out"] + w["bias"]
+            logits -= np.log(np.exp(logits).sum())
+            if word is None:
+                expected += logits[lex.classes[-1]]
+                break
+            ids = pieces[word]
+            of, spelled = lex.classes[ids[0]], float(lex.begin[ids[0]])
+            for a, b in zip(ids, ids[1:]):
+                t += 1
+                follows = np.exp(lex.follows[lex.kind[a]].astype(float))
+                own = lex.inner == lex.inner[lex.kind[b]]
+                of_class = [follows[lex.inner == c].sum() for c in range(lm.INNER)]
+                inner = state(t) @ w["inner"] + w["inner_bias"] + np.log(np.maximum(of_class, 1e-12))
+                spelled += inner[lex.inner[lex.kind[b]]] - np.log(np.exp(inner).sum()) + math.log(follows[lex.kind[b]] / follows[own].sum()) + lex.inside[b]
+            t += 1
+            expected += logits[of] + (math.log(max(counts[word] - lm.DISCOUNT, 0) / lex.mass[of] + lex.lost[of] / lex.mass[of] * math.exp(spelled)) if lex.mass[of] else spelled)
+        assert math.isclose(scored["score"][text], expected / math.log(10), rel_tol=1e-3)
+
+
+def test_lm_pieces_inside_words_are_a_distribution(lm_divided):
+    of = np.column_stack([np.exp(lm_divided.within)[:, lm_divided.inner == c].sum(axis=1) for c in np.unique(lm_divided.inner)])
+    assert np.allclose(of, 1, atol=1e-3) and np.allclose(np.exp(lm_divided.prior).sum(axis=1), 1, atol=1e-3)
+
+
 def test_lm_words_of_a_class_are_a_distribution(lm_parts):
     """Shares of the words of a class and of what is left to unseen ones add up to one."""
     lex = lm_parts.lexicon
@@ -681,6 +772,28 @@ def test_lm_gradient_is_right():
         assert np.isclose((values[0] - values[1]) / 0.02, g[i], rtol=0.05, atol=1e-4), name
 
 
+def test_lm_gradient_inside_words_is_right():
+    rng = np.random.default_rng(2)
+    model = lm.Attention(rng.integers(1, 99, 301), rng.integers(1, 99, lm.CLASSES))
+    model.flat *= 2
+    model.flat += rng.normal(0, 0.2, len(model.flat)).astype(np.float32)
+    rows, own = rng.integers(0, 301, (3, lm.WINDOW)), rng.random((3, lm.WINDOW))
+    counts, places = own < 0.4, (own > 0.4) & (own < 0.9)
+    classes, n = rng.integers(0, lm.CLASSES, counts.sum()), places.sum()
+    inside = (places, rng.integers(0, lm.INNER, n), rng.normal(size=(n, lm.INNER)).astype(np.float32), rng.random(n).astype(np.float32))
+    grad = model.gradient(rows, counts, classes, inside)
+    for name in lm.SHAPES:
+        view, g = lm._views(model.flat)[name].ravel(), lm._views(grad)[name].ravel()
+        i = int(np.abs(g).argmax())
+        values = []
+        for step in (0.01, -0.02):
+            view[i] += step
+            first, later = model.score(rows, counts, classes, inside)
+            values.append(-(first.astype(float).sum() + (later * inside[-1]).astype(float).sum()) / len(classes))
+        view[i] += 0.01
+        assert np.isclose((values[0] - values[1]) / 0.02, g[i], rtol=0.05, atol=1e-4), name
+
+
 def test_pieces_of_any_length():
     held = lm.Pieces(open(TOKENIZER).read())
     data = np.frombuffer(b"internationally", np.uint8)
